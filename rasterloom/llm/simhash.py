@@ -19,7 +19,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import parts, saved
@@ -135,13 +135,36 @@ def close_links(fps: DataFrame, distance: int = 3, blocks: int = 6, group: int =
     return members.repartition(n, "k", "mask").sortWithinPartitions("k", "mask", "fp").mapInArrow(_links(distance), "u long, v long")
 
 
-def simhash(docs: DataFrame, distance: int = 3, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of docs: id_col, fingerprint (16 hex digits), component_id (least id of its class)."""
-    each = saved(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_fingerprints(shingle), f"doc_id {docs.schema[id_col].dataType.simpleString()}, fp long"), "simhash")
+def _each(docs: DataFrame, id_: Column, text: Column, shingle: int) -> DataFrame:
+    rows = docs.select(id_.alias("doc_id"), text.alias("text"))
+    return saved(rows.mapInArrow(_fingerprints(shingle), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long"), "simhash")
+
+
+def _classes(each: DataFrame, distance: int) -> DataFrame:
+    """each(doc_id, fp) -> fp, component_id."""
     nodes = each.groupBy("fp").agg(F.min("doc_id").alias("least"))
     found = components(close_links(nodes.select("fp"), distance))
     # a root has no row in found: it stands for itself
     labelled = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = labelled.join(least, "root").select("fp", "component_id")
-    return each.join(labels, "fp").select(F.col("doc_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return labelled.join(least, "root").select("fp", "component_id", "least")
+
+
+def simhash(docs: DataFrame, distance: int = 3, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each row of docs: id_col, fingerprint (16 hex digits), component_id (least id of its class)."""
+    each = _each(docs, F.col(id_col), F.col(text_col), shingle)
+    labels = _classes(each, distance)
+    return each.join(labels.drop("least"), "fp").select(F.col("doc_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, distance: int = 3, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs, with one row of each class: the one of least id (null last), then text hash, then all columns."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    own = docs.toDF(*names)
+    i, text = F.col(f"c{docs.columns.index(id_col)}"), F.col(f"c{docs.columns.index(text_col)}")
+    own = own.withColumns({"jnull": i.isNull(), "jid": F.coalesce(i, F.lit(0)), "jth": F.xxhash64(text, F.length(text))})
+    key = ["jnull", "jid", "jth"]
+    each = _each(own, F.struct(*key), text, shingle)
+    stay = _classes(each, distance).select("component_id.*").distinct()
+    rows = own.join(stay, key, "left_semi").groupBy(*key).agg(F.min(F.struct(*names)).alias("row")).select("row.*")
+    return rows.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])
