@@ -42,7 +42,7 @@ PX = """px AS (SELECT CAST(event_id // 256 AS BIGINT) AS image_id, CAST((event_i
 CAND = "cd AS (SELECT image_id, y, x, (r // 8) * 8 AS r, (g // 8) * 8 AS g, (b // 8) * 8 AS b FROM px)"
 PAIR = "j AS (SELECT px.image_id, px.y, px.x, px.r, px.g, px.b, cd.r AS r2, cd.g AS g2, cd.b AS b2 FROM px JOIN cd USING (image_id, y, x))"
 LONG = "l AS (SELECT image_id, y, x, 'R' AS channel, r AS a, r2 AS c FROM j UNION ALL SELECT image_id, y, x, 'G', g, g2 FROM j UNION ALL SELECT image_id, y, x, 'B', b, b2 FROM j)"
-BLK = "bl AS (SELECT vec_id AS block_id, list_transform(embedding, x -> CAST(floor((x::DOUBLE + 1.0::DOUBLE) * 127.5::DOUBLE) AS INTEGER)) AS v FROM embeddings)"
+BLK = "bl AS (SELECT vec_id AS block_id, list_transform(embedding, lambda x: CAST(floor((x::DOUBLE + 1.0::DOUBLE) * 127.5::DOUBLE) AS INTEGER)) AS v FROM embeddings)"
 CELL = f"{BLK}, cell AS (SELECT block_id, CAST(unnest(range(0, 64)) AS INTEGER) AS pos, unnest(v) AS s FROM bl)"
 
 

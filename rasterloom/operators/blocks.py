@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import let
 from ..functions.colour import clamp
 from ..schemas import ZIGZAG
 
@@ -66,12 +67,13 @@ def _sums(v: Column, weights: list[list[float]], along_rows: bool) -> Column:
 
 def dct(v: Column) -> Column:
     """Coefficients in row-major order: rows, then columns."""
-    return _sums(_sums(F.transform(v, lambda x: x.cast("double")), COSINE, True), COSINE, False)
+    rows = let(F.transform(v, lambda x: x.cast("double")), lambda x: _sums(x, COSINE, True))
+    return let(rows, lambda x: _sums(x, COSINE, False))
 
 
 def idct(f: Column) -> Column:
     back = [list(r) for r in zip(*COSINE, strict=True)]
-    return _sums(_sums(f, back, False), back, True)
+    return let(let(f, lambda x: _sums(x, back, False)), lambda x: _sums(x, back, True))
 
 
 def dct_to_samples(f: Column, top: int = 255) -> Column:
@@ -79,26 +81,24 @@ def dct_to_samples(f: Column, top: int = 255) -> Column:
 
 
 def zigzag(v: Column) -> Column:
-    return F.transform(F.array(*[F.lit(z) for z in ZIGZAG]), lambda z: F.get(v, z))
+    return let(v, lambda x: F.transform(F.array(*[F.lit(z) for z in ZIGZAG]), lambda z: F.get(x, z)))
 
 
 def unzigzag(v: Column) -> Column:
     back = sorted(range(64), key=lambda k: ZIGZAG[k])
-    return F.transform(F.array(*[F.lit(k) for k in back]), lambda k: F.get(v, k))
+    return let(v, lambda x: F.transform(F.array(*[F.lit(k) for k in back]), lambda k: F.get(x, k)))
 
 
 def quantized(f: Column, steps: list[int], dead: list[float]) -> Column:
     """Coefficients in row-major order -> whole numbers in zigzag order, within 1024 of 0."""
-    rank = F.sequence(F.lit(0), F.lit(63))
     step, zone = F.array(*[F.lit(float(s)) for s in steps]), F.array(*[F.lit(d) for d in dead])
 
-    def one(k: Column) -> Column:
-        v, s = F.get(zigzag_of, k), F.get(step, k)
+    def one(v: Column, k: Column) -> Column:
+        s = F.get(step, k)
         q = F.when(F.abs(v) < s * F.get(zone, k), 0.0).otherwise(F.signum(v) * F.floor(F.abs(v) / s + 0.5))
         return F.least(F.greatest(q, F.lit(-1024.0)), F.lit(1024.0)).cast("int")
 
-    zigzag_of = zigzag(f)
-    return F.transform(rank, one)
+    return F.transform(zigzag(f), one)
 
 
 def dequantized(q: Column, steps: list[int]) -> Column:
