@@ -168,6 +168,7 @@ class ChunkSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")  # else Spark refuses a reader that takes filters
     spark.dataSource.register(ChunkSource)
 
 

@@ -18,9 +18,9 @@ def incoming(spark: SparkSession, folder: str, table: str = "tiles", per_trigger
     return parsed(files, table)
 
 
-def complete_images(tiles: DataFrame, idle: str = "1 hour") -> DataFrame:
+def complete_images(tiles: DataFrame, idle_ms: int = 3_600_000) -> DataFrame:
     """tiles(image_id, tile_x, tile_y, expected) as a stream -> image_id, n_tiles, complete: a row once all expected
-    tiles of an image have come, or once none has for `idle` of processing time. Repeated tiles count once."""
+    tiles of an image have come, or once none has for idle_ms of processing time. Repeated tiles count once."""
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         seen, expected = (set(state.get[0]), state.get[1]) if state.exists else (set(), 0)
@@ -36,7 +36,7 @@ def complete_images(tiles: DataFrame, idle: str = "1 hour") -> DataFrame:
             yield pd.DataFrame({"image_id": [key[0]], "n_tiles": [len(seen)], "complete": [True]})
         else:
             state.update((sorted(seen), expected))
-            state.setTimeoutDuration(idle)
+            state.setTimeoutDuration(idle_ms)
 
     return tiles.groupBy("image_id").applyInPandasWithState(run, "image_id string, n_tiles int, complete boolean", "seen array<int>, expected int", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
