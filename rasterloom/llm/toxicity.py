@@ -4,8 +4,8 @@ Folding: compatibility forms, lower case, accents off, look-alike letters of oth
 signs to letters in words that hold a letter, anything else to one space. Entries are beginnings of words.
 
 The lexicon is learned from labelled rows: at most `fit_toxic` toxic and `fit_clean` clean ones, those of least id
-hash. An entry is a beginning of `least_chars` characters or more that toxic rows show in many different
-surroundings (so a much copied text teaches nothing) and clean ones rarely; its weight is the log of the ratio of
+hash. An entry is a beginning of `least_chars` characters or more that at least `least_rows` toxic rows show, each
+between words of its own (so a much copied text counts once), and clean ones rarely; its weight is the log of the ratio of
 the shares of rows that have it. Exception phrases are an entry's word with the word before or after it, where clean
 rows show that pair and toxic ones don't; a match that is part of one doesn't count. The sum of the weights over the
 text's words is turned into a score by a logistic curve fitted to the same rows.
@@ -103,27 +103,29 @@ class Lexicon:
         return 1 / (1 + math.exp(-max(-500.0, self.offset + self.slope * math.log1p(density)))) if self.weights else 0.0
 
 
-def learn(toxic: list[str], clean: list[str], least_chars: int = 4, most_chars: int = 12, surroundings: int = 8, least_weight: float = 2.0, entries: int = 5000, phrases: int = 5000) -> Lexicon:
+def learn(toxic: list[str], clean: list[str], least_chars: int = 4, most_chars: int = 12, least_rows: int = 8, least_weight: float = 2.5, entries: int = 5000, phrases: int = 5000) -> Lexicon:
     """Texts of both kinds -> a lexicon of at most `entries` entries and `phrases` exception phrases."""
     toxic, clean = [fold(x).split() for x in toxic], [fold(x).split() for x in clean]
     if not toxic or not clean:
         return Lexicon()
-    around, rows = defaultdict(set), Counter()
+    begins_of = lambda w: (w[:n] for n in range(least_chars, min(len(w), most_chars) + 1))
+    shown = Counter(p for words in toxic for p in {p for w in set(words) for p in begins_of(w)})
+    wanted = {p for p, n in shown.items() if n >= least_rows}
+    against = Counter(p for words in clean for p in {p for w in set(words) for p in begins_of(w) if p in wanted})
+    ratio = lambda n, p: math.log((n + 0.5) / (len(toxic) + 1) * (len(clean) + 1) / (against[p] + 0.5))
+    wanted = {p for p in wanted if ratio(shown[p], p) >= least_weight}
+    # a row counts for a beginning if it shows it between words that no row before has shown it between
+    rows, between = Counter(), defaultdict(set)
     for words in toxic:
-        seen = set()
+        new = set()
         for k, w in enumerate(words):
-            near = (words[k - 1] if k else "", w, words[k + 1] if k + 1 < len(words) else "")
-            for n in range(least_chars, min(len(w), most_chars) + 1):
-                if len(around[w[:n]]) < surroundings:
-                    around[w[:n]].add(near)
-                seen.add(w[:n])
-        rows.update(seen)
-    wanted = {p for p, s in around.items() if len(s) >= surroundings}
-    against = Counter()
-    for words in clean:
-        against.update({p for w in set(words) for n in range(least_chars, min(len(w), most_chars) + 1) if (p := w[:n]) in wanted})
-    weight = {p: math.log((rows[p] + 0.5) / (len(toxic) + 1) * (len(clean) + 1) / (against[p] + 0.5)) for p in wanted}
-    good = {p for p in wanted if weight[p] >= least_weight and against[p] * len(toxic) < 0.2 * rows[p] * len(clean)}
+            for p in begins_of(w):
+                if p in wanted and (near := (words[k - 1] if k else "", w, words[k + 1] if k + 1 < len(words) else "")) not in between[p]:
+                    between[p].add(near)
+                    new.add(p)
+        rows.update(new)
+    weight = {p: ratio(rows[p], p) for p in wanted if rows[p] >= least_rows}
+    good = {p for p, w in weight.items() if w >= least_weight}
     # of beginnings of each other, the shortest, made longer while nearly all of its rows have the longer one too
     kept: dict[str, float] = {}
     longer = defaultdict(list)
