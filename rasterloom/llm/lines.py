@@ -7,7 +7,7 @@ stays; all others are removed from their documents. Blank lines always stay.
 A line is cut into limit + 1 segments; a line within the limit has one of them, unchanged, at one of a few places.
 Each distinct line is therefore indexed by (its length, segment number, segment), and probes the indexes of its own
 and the limit's shorter lengths with its substrings at those places (the multi-match-aware windows of Pass-Join).
-What meets is verified by Hyyrö's banded bit-parallel distance: a word holds the 2 * limit + 1 cells of the band.
+What meets is verified, without what both lines have in common at their ends, by Hyyrö's banded bit-parallel distance: a word holds the 2 * limit + 1 cells of the band.
 
 Where more than `hot` distinct lines share a segment and the limit is 1, they aren't paired: the distinct lines of
 such groups are keyed by what they become without one character, and by that and its place. Lines that differ in one
@@ -62,33 +62,59 @@ def segment_keys(line: Column, limit: int) -> Column:
 def within(a: Column, b: Column, limit: int) -> Column:
     """Whether the edit distance of a and b, of lengths that differ by no more than limit < their lengths, is at most
     limit. Bit o of a word is the cell `o - limit` rows below the diagonal."""
-    band = (1 << (2 * limit + 1)) - 1
     lit = lambda x: F.lit(x).cast("bigint")
-    p, m = F.split(a, ""), F.length(a)
-
-    def step(acc: Column, x: Column) -> Column:
-        j, c, vp, vn = x["j"], x["c"], acc["vp"], acc["vn"]
-        bits = [F.when(F.coalesce(F.get("p", j + (o - limit)) == c, F.lit(False)), lit(1 << o)).otherwise(lit(0)) for o in range(2 * limit + 1)]
-        eq = reduce(lambda s, t: s.bitwiseOR(t), bits)
-        d0 = ((eq.bitwiseAND(vp) + vp).bitwiseXOR(vp)).bitwiseOR(eq).bitwiseOR(vn).bitwiseAND(lit(band))
-        hp = vn.bitwiseOR(F.bitwise_not(d0.bitwiseOR(vp)).bitwiseAND(lit(band)))
-        hn = d0.bitwiseAND(vp)
-        down = F.shiftright(d0, 1)
-        # the band's last cell goes down the diagonal to the last row, then along it
-        at = F.greatest(F.lit(0), F.lit(2 * limit - 1) - (j - (F.col("m") - limit)))
-        along = F.call_function("shiftright", hp, at).bitwiseAND(lit(1)) - F.call_function("shiftright", hn, at).bitwiseAND(lit(1))
-        move = F.when(j < F.col("m") - limit, 1 - F.shiftright(d0, 2 * limit).bitwiseAND(lit(1))).otherwise(along)
-        new_vp = hn.bitwiseOR(F.bitwise_not(down.bitwiseOR(hp)).bitwiseAND(lit(band)))
-        return F.struct(new_vp.alias("vp"), down.bitwiseAND(hp).alias("vn"), (acc["dist"] + move).alias("dist"))
-
-    text = F.transform(F.split(b, ""), lambda c, j: F.struct(c.alias("c"), j.alias("j")))
-    start = F.struct(lit(((1 << (limit + 1)) - 1) << limit).alias("vp"), lit(0).alias("vn"), lit(limit).alias("dist"))
-    return p, m, F.aggregate(text, start, step)["dist"] <= limit
+    band = lit((1 << (2 * limit + 1)) - 1)
+
+    def distance(pair: Column) -> Column:
+        p, m = pair["p"], pair["m"]
+
+        def step(acc: Column, x: Column) -> Column:
+            j, vp, vn = x["j"], acc["vp"], acc["vn"]
+            bits = [F.when(F.coalesce(F.get(p, j + (o - limit)) == x["c"], F.lit(False)), lit(1 << o)).otherwise(lit(0)) for o in range(2 * limit + 1)]
+            eq = reduce(lambda s, t: s.bitwiseOR(t), bits)
+            d0 = ((eq.bitwiseAND(vp) + vp).bitwiseXOR(vp)).bitwiseOR(eq).bitwiseOR(vn).bitwiseAND(band)
+            hp = vn.bitwiseOR(F.bitwise_not(d0.bitwiseOR(vp)).bitwiseAND(band))
+            hn = d0.bitwiseAND(vp)
+            down = F.shiftright(d0, 1)
+            # the band's last cell goes down the diagonal to the last row, then along it
+            at = F.greatest(F.lit(0), F.lit(2 * limit - 1) - (j - (m - limit)))
+            bit = lambda w: F.call_function("shiftright", w, at).bitwiseAND(lit(1))
+            move = F.when(j < m - limit, 1 - F.shiftright(d0, 2 * limit).bitwiseAND(lit(1))).otherwise(bit(hp) - bit(hn))
+            new_vp = hn.bitwiseOR(F.bitwise_not(down.bitwiseOR(hp)).bitwiseAND(band))
+            return F.struct(new_vp.alias("vp"), down.bitwiseAND(hp).alias("vn"), (acc["dist"] + move).alias("dist"))
+
+        start = F.struct(lit(((1 << (limit + 1)) - 1) << limit).alias("vp"), lit(0).alias("vn"), lit(limit).alias("dist"))
+        return F.aggregate(F.transform(pair["t"], lambda c, j: F.struct(c.alias("c"), j.alias("j"))), start, step)["dist"]
+
+    # an array of one: its element is made once, where a column's expression would be made again at each step
+    pair = F.array(F.struct(F.split(a, "").alias("p"), F.length(a).alias("m"), F.split(b, "").alias("t")))
+    return F.get(F.transform(pair, distance), F.lit(0)) <= limit
+
+
+def _begins_alike(a: Column, b: Column, most: Column) -> Column:
+    """How many characters a and b have in common at the start, no more than `most` (and than 2^18), by halving steps."""
+    steps = F.array(*[F.lit(1 << k) for k in range(17, -1, -1)])
+    pair = F.array(F.struct(a.alias("a"), b.alias("b"), most.alias("most")))
+
+    def count(p: Column) -> Column:
+        same = lambda n, k: F.substring(p["a"], n + 1, k) == F.substring(p["b"], n + 1, k)
+        return F.aggregate(steps, F.lit(0), lambda n, k: F.when((n + k <= p["most"]) & same(n, k), n + k).otherwise(n))
+
+    return F.get(F.transform(pair, count), F.lit(0))
 
 
 def _near(pairs: DataFrame, limit: int) -> DataFrame:
-    p, m, close = within(F.col("s"), F.col("t"), limit)
-    return pairs.withColumn("p", p).withColumn("m", m).where(close)
+    """Of pairs(s, t) those within the limit. What they have in common at both ends doesn't change the distance, and goes
+    but for limit + 1 characters, so long lines with a small difference cost little."""
+    keep = limit + 1
+    p = pairs.withColumn("_n", F.least(F.length("s"), F.length("t")))
+    p = p.withColumn("_head", _begins_alike(F.col("s"), F.col("t"), F.col("_n")))
+    p = p.withColumn("_tail", _begins_alike(F.reverse("s"), F.reverse("t"), F.col("_n") - F.col("_head")))
+    cut = lambda c: F.substring(F.col(c), F.greatest(F.lit(0), F.col("_head") - keep) + 1, F.length(c) - F.greatest(F.lit(0), F.col("_head") - keep) - F.greatest(F.lit(0), F.col("_tail") - keep))
+    # with one edit, nothing but it is left between the ends
+    p = p.where(F.lit(limit != 1) | (F.greatest(F.length("s"), F.length("t")) - F.col("_head") - F.col("_tail") <= 1))
+    p = p.withColumn("_s", cut("s")).withColumn("_t", cut("t")).where(within(F.col("_s"), F.col("_t"), limit))
+    return p.drop("_n", "_head", "_tail", "_s", "_t")
 
 
 def line_links(lines: DataFrame, texts: DataFrame, limit: int = 1, hot: int = 256, long_chars: int = 4000) -> DataFrame:
