@@ -8,18 +8,28 @@ from pyspark.sql import functions as F
 from .common import saved
 
 
-def _large(e: DataFrame) -> DataFrame:
+#: Up to so many links the least neighbours, a row for each node, are sent to all tasks; beyond, they are joined by a
+#: shuffle.
+BROADCAST_LINKS = 100_000
+
+
+def _least(e: DataFrame, few: bool) -> DataFrame:
+    least = e.groupBy("u").agg(F.min("v").alias("m"))
+    return F.broadcast(least) if few else least
+
+
+def _large(e: DataFrame, few: bool) -> DataFrame:
     """Every neighbour above u is linked to the least of u and its neighbours."""
     both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+    met = both.where("v > u").join(_least(both, few), "u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
+    return met.where("u != v")
 
 
-def _small(e: DataFrame) -> DataFrame:
+def _small(e: DataFrame, few: bool) -> DataFrame:
     """u > v in e. u and its lower neighbours are linked to the least of them."""
-    least = e.groupBy("u").agg(F.min("v").alias("m"))
-    rest = e.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return least.select("u", F.col("m").alias("v")).union(rest).distinct()
+    met = e.join(_least(e, few), "u")
+    links = F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
+    return met.select(F.explode(links).alias("x")).select("x.u", "x.v").where("u != v").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -32,4 +42,5 @@ def components(edges: DataFrame) -> DataFrame:
         if now == before or not now[0]:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = now
-        e = saved(_small(_large(e)), "edges")
+        few = now[0] <= BROADCAST_LINKS
+        e = saved(_small(_large(e, few), few), "edges")
