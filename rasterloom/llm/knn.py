@@ -3,7 +3,7 @@
 Vectors are made integers (floor(scale * x)), so scores are exact. A bounded number of pivots, the vectors of least
 id hash, cut the space into cells. Each cell's summary is its pivot, its radius and the k vectors nearest the pivot.
 The summaries' vectors are real candidates, so a query's k-th best score among them is a floor under its answer.
-Queries of a cell form groups of at most `block`, with a center, a radius, and the least floor of their queries. By
+Queries, in a number of cells that grows with theirs, form groups of about `block` at most, with a center, a radius, and the least floor of their queries. By
 Cauchy and Schwarz no query of a group scores more than x.center + |x| * radius with x; x is sent to those groups for
 which that reaches the group's floor, and to no other. Each group is solved in chunks of bounded size, and the
 chunks' best k are merged. Groups are taken `wave` at a time, so what each task holds of them is bounded.
@@ -80,9 +80,11 @@ def _needed(groups: list, chunks: int, dim: int):
         for pdf in batches:
             x = _matrix(pdf["v"], dim)
             most = x @ center.T + np.sqrt((x**2).sum(1))[:, None] * radius
-            row, g = np.nonzero(most * (1 + SLACK * np.sign(most)) + SLACK >= floor)
-            out = pdf.iloc[row][["id", "v"]]
-            yield out.assign(group=number[g], chunk=(pd.util.hash_array(out["id"].to_numpy()) % np.uint64(chunks)).astype("int32"))
+            near = most * (1 + SLACK * np.sign(most)) + SLACK >= floor
+            pdf["chunk"] = (pd.util.hash_array(pdf["id"].to_numpy()) % np.uint64(chunks)).astype("int32")
+            for g, needed in enumerate(near.T):  # a group at a time, so no more than a batch is copied at once
+                if needed.any():
+                    yield pdf.loc[needed, ["id", "v"]].assign(group=number[g], chunk=pdf["chunk"][needed])
 
     return run
 
@@ -94,14 +96,19 @@ def _solve(k: int, dim: int):
         if not len(data) or not len(group):
             return pd.DataFrame({c: pd.Series(dtype="int64") for c in schema})
         data = data.sort_values("id", kind="stable")
-        ids, x = data["id"].to_numpy(), _matrix(data["v"], dim)
         queries = np.asarray(group["ids"].iloc[0])
-        scores = np.rint(np.asarray(group["vs"].iloc[0]).reshape(len(queries), dim) @ x.T)
-        scores[queries[:, None] == ids[None, :]] = -np.inf
-        best = np.argsort(-scores, axis=1, kind="stable")[:, :k]  # ids ascend, so ties go to the smaller
-        got = np.take_along_axis(scores, best, axis=1).ravel()
-        out = pd.DataFrame({"query_id": np.repeat(queries, best.shape[1]), "vec_id": ids[best.ravel()], "score": got})
-        return out[np.isfinite(got)].astype("int64")
+        q = np.asarray(group["vs"].iloc[0]).reshape(len(queries), dim)
+        score, best = np.empty((len(queries), 0)), np.empty((len(queries), 0), np.int64)
+        for at in range(0, len(data), 2048):
+            part = data.iloc[at : at + 2048]
+            ids = part["id"].to_numpy()
+            new = np.rint(q @ _matrix(part["v"], dim).T)
+            new[queries[:, None] == ids[None, :]] = -np.inf
+            score, best = np.concatenate([score, new], axis=1), np.concatenate([best, np.broadcast_to(ids, new.shape)], axis=1)
+            top = np.argsort(-score, axis=1, kind="stable")[:, :k]  # ids ascend, so ties go to the smaller
+            score, best = np.take_along_axis(score, top, axis=1), np.take_along_axis(best, top, axis=1)
+        out = pd.DataFrame({"query_id": np.repeat(queries, best.shape[1]), "vec_id": best.ravel(), "score": score.ravel()})
+        return out[np.isfinite(out["score"])].astype("int64")
 
     return run
 
@@ -109,7 +116,7 @@ def _solve(k: int, dim: int):
 def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = 1024, n_pivots: int = 64, block: int = 512, chunk_rows: int = 20_000, wave: int = 64) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k best candidates of each row of vectors for which is_query holds."""
     spark = vectors.sparkSession
-    rows = saved(integers(vectors.withColumn("_q", is_query), id_col, vec_col, scale), "knn-vectors")
+    rows = saved(integers(vectors, id_col, vec_col, scale), "knn-vectors")
     queries = integers(vectors.where(is_query), id_col, vec_col, scale)
     n, dim = rows.agg(F.count("*"), F.max(F.size("v"))).first()
     result = "query_id long, vec_id long, score long"
@@ -125,7 +132,10 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_
     some = some.withColumn("n", F.row_number().over(Window.partitionBy("cell").orderBy("far", "id"))).where(F.col("n") <= k + 1)
     summary = some.select("id", "v").dropDuplicates(["id"]).orderBy("id").collect()
     summary_v, summary_id = _matrix(pd.Series([r["v"] for r in summary]), dim), np.array([r["id"] for r in summary])
-    asked = queries.groupBy("id").agg(F.min("v").alias("v")).mapInPandas(_cells(pivots), schema)
+    # queries keep to fewer cells, so that a group is worth the data sent to it
+    n_queries = queries.select("id").distinct().count()
+    wide = pivots[: max(1, min(n_pivots, -(-4 * n_queries // block)))]
+    asked = queries.groupBy("id").agg(F.min("v").alias("v")).mapInPandas(_cells(wide), schema)
     sizes = {r["cell"]: r["count"] for r in asked.groupBy("cell").count().collect()}  # a row for each pivot
     split = F.lit(1)
     for cell, count in sizes.items():
@@ -149,8 +159,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_
 
 ORACLE = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, x -> floor(1024 * x::DOUBLE)) AS e FROM embeddings
-  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
   SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
   FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id
