@@ -254,11 +254,11 @@ def all_same(spark, d):
     return S.all_same(e, "g", "v")
 
 
-@query("srt2_block_order", f"WITH {BLK} SELECT block_id, CAST(row_number() OVER (ORDER BY block_id // 8, block_id % 8) - 1 AS INTEGER) AS n FROM bl WHERE block_id < 512")
+@query("srt2_block_order", f"WITH {BLK} SELECT block_id, CAST(row_number() OVER (ORDER BY block_id // 8, block_id % 8) - 1 AS INTEGER) AS n FROM bl")
 def block_order(spark, d):
     from pyspark.sql import Window
 
-    b = blocks(spark, d).where("block_id < 512").select("block_id")
+    b = blocks(spark, d).select("block_id")
     return b.select("block_id", (F.row_number().over(Window.orderBy(F.floor(F.col("block_id") / 8), F.col("block_id") % 8)) - 1).alias("n"))
 
 
