@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from rasterloom.llm import chat, components, decontamination, katz, knn, licenses, lines, mixing, queries, simhash, token_counts, toxicity
+from rasterloom.llm import chat, components, decontamination, katz, knn, licenses, lines, mixing, near_copies, queries, simhash, token_counts, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -277,6 +277,38 @@ def test_close_links(spark, group):
     assert classes_of(signed, links) == want
 
 
+@pytest.mark.parametrize("group", [64, 3])
+def test_near_copies(spark, group):
+    """The pipeline's stage against all pairs; many of these copies differ in more bits than op4 links."""
+    import corpus_pipeline
+
+    rng = random.Random(group)
+    passage = words(rng, 12, 5000).split()
+    texts = []
+    for _ in range(12):
+        base = words(rng, rng.randrange(40, 120), 5000).split() + passage
+        for _ in range(8):
+            x = list(base)
+            for _ in range(rng.randrange(4)):
+                x[rng.randrange(len(x))] = f"y{rng.randrange(9999)}"
+            texts.append(" ".join(x))
+    texts += ["", None, " ", "one two", "One  two", texts[0]]
+    grams = []
+    for t in texts:
+        w = (t or "").lower().split()
+        grams.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    alike = lambda a, b: a == b or 10 * len(a & b) >= 8 * len(a | b)
+    n = range(len(texts))
+    root = classes_of(n, [(a, b) for a in n for b in n if a < b and alike(grams[a], grams[b])])
+    df = docs_of(spark, list(enumerate(texts)))
+    got = near_copies.one_of_each(df, group=group)
+    assert got.columns == df.columns
+    assert sorted(r["doc_id"] for r in got.collect()) == sorted(set(root.values()))
+    if group == 64:
+        assert sorted(r["doc_id"] for r in corpus_pipeline.dedup_documents(spark, df, "").collect()) == sorted(set(root.values()))
+    assert near_copies.one_of_each(docs_of(spark, [])).count() == 0
+
+
 def test_fingerprint_chunks():
     text = words(random.Random(1), 500)
     assert simhash.fingerprint(text, chunk=7) == simhash.fingerprint(text) == fingerprint(text)
