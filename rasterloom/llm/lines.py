@@ -126,7 +126,8 @@ def line_links(lines: DataFrame, texts: DataFrame, limit: int = 1, hot: int = 25
     wanted = met.select("id").distinct()
     text = saved(_some(texts.withColumn("id", name), wanted), "line-texts")
     short = met.join(text.select("id", F.length("line").alias("chars")), "id")
-    warm = ((F.col("n") <= hot) | (F.col("chars") > long_chars)) if limit == 1 else F.lit(True)
+    # lines of just long_chars meet shorter ones among the dense and longer ones here
+    warm = ((F.col("n") <= hot) | (F.col("chars") >= long_chars)) if limit == 1 else F.lit(True)
     cool = short.where(warm)
     left, right = cool.where("NOT probe").select("key", F.col("id").alias("u")), cool.select("key", F.col("id").alias("v"), "probe")
     pairs = left.join(right, "key").where("u != v AND (probe OR u < v)").select("u", "v").distinct()
@@ -134,7 +135,7 @@ def line_links(lines: DataFrame, texts: DataFrame, limit: int = 1, hot: int = 25
     links = _near(both, limit).select("u", "v")
     if limit != 1:
         return links
-    dense = text.join(short.where(~warm).select("id").distinct(), "id")
+    dense = text.join(short.where((F.col("n") > hot) & (F.col("chars") <= long_chars)).select("id").distinct(), "id")
     if not dense.limit(1).count():
         return links
     n = F.length("line")

@@ -213,6 +213,19 @@ def test_line_dedup(spark, limit, hot, monkeypatch):
     assert lines.dedup_lines(docs_of(spark, [])).count() == 0
 
 
+def test_line_dedup_border(spark, monkeypatch):
+    """A line of just long_chars and one of a character more, which share hot keys only."""
+    rng = random.Random(4)
+    head, tail = ("".join(rng.choice("abcdefgh") for _ in range(30)) for _ in range(2))
+    near = [head + tail, head[:9] + "z" + head[9:] + tail]
+    rows = list(enumerate([*near, *("".join(rng.choice("ijklmnop") for _ in range(30)) + tail for _ in range(4))]))
+    keep = lines.line_links
+    monkeypatch.setattr(lines, "line_links", lambda a, b, k: keep(a, b, k, hot=2, long_chars=60))
+    got = {r["doc_id"]: r["text"] for r in lines.dedup_lines(docs_of(spark, rows)).collect()}
+    assert got == {d: text for (d, _), text in lines_without(rows, 1).items()}
+    assert got[1] == ""
+
+
 @pytest.mark.parametrize("limit", [1, 2, 3])
 def test_banded_distance(spark, limit):
     rng = random.Random(limit)
