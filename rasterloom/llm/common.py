@@ -2,21 +2,30 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word: a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
+_saved: list[str] = []
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: So many narrow rows, some tens of MB, are sent to all tasks; more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set."""
+    """The folder that driver and executors share; one of our own only where none is set and all run on this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="rasterloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -27,9 +36,32 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _saved.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def marked() -> int:
+    """How many tables are saved by now, for release()."""
+    return len(_saved)
+
+
+def release(spark: SparkSession, since: int, keep: Iterable[DataFrame] = ()) -> None:
+    """Deletes the tables saved since that mark but those that `keep` reads. Only for what no later read needs."""
+    needed = [f for df in keep for f in df.inputFiles()]
+    for path in _saved[since:]:
+        if not any(f"/{path.rpartition('/')[2]}/" in f for f in needed):
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+            _saved.remove(path)
+
+
+def few_rows(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """df, marked for a broadcast if it has at most BROADCAST_ROWS rows, which are counted here unless told."""
+    if rows is None:
+        rows = df.limit(BROADCAST_ROWS + 1).count()
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

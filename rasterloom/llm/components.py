@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import marked, release, saved
 
 
 #: Up to so many links the least neighbours, a row for each node, are sent to all tasks; beyond, they are joined by a
@@ -36,7 +36,7 @@ def components(edges: DataFrame) -> DataFrame:
     """edges(u, v) of an ordered type -> (node, root), root the least node that can be reached; one row for each
     node of an edge that isn't a root itself. Rounds grow with the logarithm of the number of nodes."""
     e = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct()
-    e, before = saved(e, "edges"), None
+    e, before, since = saved(e, "edges"), None, marked() - 1
     while True:
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before or not now[0]:
@@ -44,3 +44,4 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
         few = now[0] <= BROADCAST_LINKS
         e = saved(_small(_large(e, few), few), "edges")
+        release(edges.sparkSession, since, keep=[e])  # the rounds before it

@@ -9,25 +9,28 @@ Each distinct line is therefore indexed by (its length, segment number, segment)
 and the limit's shorter lengths with its substrings at those places (the multi-match-aware windows of Pass-Join).
 What meets is verified, without what both lines have in common at their ends, by Hyyrö's banded bit-parallel distance: a word holds the 2 * limit + 1 cells of the band.
 
-Where more than `hot` distinct lines share a segment and the limit is 1, they aren't paired: the distinct lines of
-such groups are keyed by what they become without one character, and by that and its place. Lines that differ in one
-place alone share the latter and are linked to the least of them; a line is linked to those that become it. That is
-every pair within one edit, in as many rows as the lines have characters. Lines over `long_chars`, and limits
-above 1, are paired in any case.
+Lines that meet in a segment are paired if at most `few` of them are indexed there, so a line has no more than `few`
+pairs from a group, however many probe it. In any other group the segment is taken out, and what is left of each line
+is cut into segments again, by the same rule, until few are indexed or no more than `limit` characters are left. By
+then all indexed lines of the group are within the limit of each other, and each is paired with the least of them.
+With limit 1 a longer line is then paired with the one line that it becomes without either of its two characters, so
+that all rows are in proportion to the lines' characters. With larger limits it is paired with all indexed lines of
+its group, which agree in all but `limit` characters. No pair within the limit is lost, and `few` moves work only.
 
 Defined cases: null and empty texts have no lines and stay as they are; rows equal in id and text are one document,
-so they keep the same lines; null ids come first in order; lines are known by two 64-bit hashes; texts are taken
-whole; other columns stay as they are; an empty table gives an empty result.
+so they keep the same lines; null ids come first in order; lines are known by two 64-bit hashes; texts and lines are
+taken whole, whatever their length; other columns stay as they are; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import few_rows, saved
 from .components import components
 
 BLANK = " \t\r"
@@ -35,28 +38,83 @@ BLANK = " \t\r"
 
 def occurrences(docs: DataFrame) -> DataFrame:
     """docs(id, th, text) -> id, th, line_no, line (trimmed), a, b (its hashes), for lines that aren't blank."""
-    lines = docs.where(F.length("text") > 0).select("id", "th", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    lines = docs.where("text != ''").select("id", "th", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
     lines = lines.withColumn("line", F.trim("line", F.lit(BLANK))).where("line != ''")
     return lines.withColumn("a", F.xxhash64("line")).withColumn("b", F.xxhash64(F.lit(7), "line"))
 
 
-def segment_keys(line: Column, limit: int) -> Column:
-    """array<struct<key, probe>>: the line's segments, as an index for its length, and the substrings by which it
-    probes the indexes of shorter lines; those of its own length are its segments, for all places agree."""
-    n, m = F.length(line), limit + 1
-    out = []
+def windows(size: str, limit: int, short: int) -> Iterator[tuple[int, str, str, bool]]:
+    """Where a string of size + short characters may hold a segment of one of `size` characters that is within the
+    limit: segment number, first character, length, and whether it is the string's own segment."""
+    m = limit + 1
+    for i in range(m):  # the last segments have one character more, as many as the division leaves
+        length = f"({size} div {m} + if({m - i} <= {size} % {m}, 1, 0))"
+        first, last = max(-i, short - (m - 1 - i)), min(i, short + (m - 1 - i))
+        for shift in range(first, last + 1):
+            start = f"(1 + {shift} + {i} * ({size} div {m}) + greatest(0, {i - m} + {size} % {m}))"
+            yield i, start, length, short == 0 and shift == 0
+
+
+def line_keys(limit: int, min_chars: int) -> dict[str, str]:
+    """SQL of the keys of a line of n characters: `own*` as an index for its length, `probe*` for other places."""
+    out = {}
     for short in range(limit + 1):
-        size = n - short
-        base, longer = F.floor(size / m).cast("int"), F.pmod(size, F.lit(m))
-        for i in range(m):  # the last `longer` segments have one character more
-            extra = F.greatest(F.lit(0), F.lit(i - m) + longer)
-            start = 1 + base * i + extra
-            length = base + (F.lit(m - i) <= longer).cast("int")
-            first, last = max(-i, short - (m - 1 - i)), min(i, short + (m - 1 - i))
-            for shift in range(first, last + 1):
-                key = F.xxhash64(size, F.lit(i), F.substring(line, start + shift, length))
-                out.append(F.struct(key.alias("key"), F.lit(short > 0 or shift != 0).alias("probe")))
-    return F.array(*out)
+        for k, (i, start, length, own) in enumerate(windows(f"(n - {short})", limit, short)):
+            key = f"xxhash64(0L, n - {short}, {i}, substring(line, {start}, {length}))"
+            out[f"{'own' if own else 'probe'}_{short}_{k}"] = f"if(n - {short} >= {min_chars}, {key}, NULL)"
+    return out
+
+
+def _cut(state: DataFrame, limit: int) -> DataFrame:
+    """state(g, a, b, l, own, rest), of which indexed strings are l characters long -> the same for each segment or
+    window, g its key and rest what is left without it."""
+    by_short = []
+    for short in range(limit + 1):
+        parts = [
+            f"named_struct('g', xxhash64(g, l, {i}, substring(rest, {start}, {length})), 'l', l - {length}, 'own', {'own' if own else 'false'},"
+            f" 'rest', concat(substring(rest, 1, {start} - 1), substring(rest, {start} + {length})))"
+            for i, start, length, own in windows("l", limit, short)
+        ]
+        by_short.append(f"WHEN {short} THEN array({', '.join(parts)})")
+    found = F.expr(f"array_distinct(CASE n - l {' '.join(by_short)} END)")
+    sized = state.withColumn("n", F.length("rest"))
+    return sized.select("a", "b", F.explode(found).alias("x")).select("x.g", "a", "b", "x.l", "x.own", "x.rest")
+
+
+def candidates(texts: DataFrame, limit: int, few: int) -> DataFrame:
+    """texts(a, b, line) distinct -> pairs (u, v) of structs (a, b), which hold all that are within the limit."""
+    n = F.length("line")
+    state = texts.select(F.lit(0).cast("long").alias("g"), "a", "b", F.explode(F.sequence(F.lit(0), F.lit(limit))).alias("short"), "line")
+    state = state.select("g", "a", "b", (n - F.col("short")).alias("l"), (F.col("short") == 0).alias("own"), F.col("line").alias("rest")).where(F.col("l") > limit)
+    name, found = F.struct("a", "b"), None
+    while True:
+        rows = _cut(state, limit)
+        sizes = rows.groupBy("g").agg(F.count("*").alias("n"), F.count_if("own").alias("indexed")).where("n > 1 AND indexed > 0")
+        met = saved(rows.join(sizes.select("g", "indexed"), "g"), "line-groups")
+        small = met.where(F.col("indexed") <= few)
+        left = small.where("own").select("g", name.alias("u"))
+        pairs = left.join(small.select("g", name.alias("v"), "own"), "g").where("u != v AND (NOT own OR u < v)").select("u", "v")
+        found = pairs if found is None else found.union(pairs)
+        large = met.where(F.col("indexed") > few)
+        end = large.where(F.col("l") <= limit)
+        found = found.union(_last(end, limit))
+        state = large.where(F.col("l") > limit).drop("indexed")
+        if not state.limit(1).count():
+            return found
+
+
+def _last(rows: DataFrame, limit: int) -> DataFrame:
+    """Groups of which at most `limit` characters are left of each indexed line -> pairs that span them."""
+    name = F.struct("a", "b")
+    least = rows.where("own").groupBy("g").agg(F.min(name).alias("u"))
+    close = rows.where(F.length("rest") <= limit).select("g", name.alias("v"))
+    star = least.join(close, "g").where("u != v").select("u", "v")
+    longer = rows.where(F.length("rest") > limit).select("g", name.alias("v"), "rest")
+    own = rows.where("own").select("g", name.alias("u"), F.col("rest").alias("c"))
+    if limit == 1:  # two characters, of which one must go
+        longer = longer.withColumn("c", F.explode(F.expr("array_distinct(array(substring(rest, 1, 1), substring(rest, 2, 1)))")))
+        return star.union(own.join(longer, ["g", "c"]).select("u", "v"))
+    return star.union(own.join(longer, "g").where("u != v").select("u", "v"))
 
 
 def within(a: Column, b: Column, limit: int) -> Column:
@@ -92,13 +150,13 @@ def within(a: Column, b: Column, limit: int) -> Column:
 
 
 def _begins_alike(a: Column, b: Column, most: Column) -> Column:
-    """How many characters a and b have in common at the start, no more than `most` (and than 2^18), by halving steps."""
-    steps = F.array(*[F.lit(1 << k) for k in range(17, -1, -1)])
+    """How many characters a and b have in common at the start, no more than `most`, by halving steps."""
+    steps = F.array(*[F.lit(1 << k) for k in range(30, -1, -1)])  # more than a string can hold
     pair = F.array(F.struct(a.alias("a"), b.alias("b"), most.alias("most")))
 
     def count(p: Column) -> Column:
         same = lambda n, k: F.substring(p["a"], n + 1, k) == F.substring(p["b"], n + 1, k)
-        return F.aggregate(steps, F.lit(0), lambda n, k: F.when((n + k <= p["most"]) & same(n, k), n + k).otherwise(n))
+        return F.aggregate(steps, F.lit(0), lambda n, k: F.when((k <= p["most"] - n) & same(n, k), n + k).otherwise(n))
 
     return F.get(F.transform(pair, count), F.lit(0))
 
@@ -117,79 +175,67 @@ def _near(pairs: DataFrame, limit: int) -> DataFrame:
     return p.drop("_n", "_head", "_tail", "_s", "_t")
 
 
-def line_links(lines: DataFrame, texts: DataFrame, limit: int = 1, hot: int = 256, long_chars: int = 4000) -> DataFrame:
-    """lines(a, b, keys) distinct, texts(a, b, line) with at least one row for each -> links (u, v) of line names."""
-    name = F.concat(F.hex("a"), F.lit("-"), F.hex("b"))
-    keys = saved(lines.select(name.alias("id"), F.explode("keys").alias("k")).select("id", "k.*").distinct(), "line-keys")
-    sizes = keys.groupBy("key").agg(F.count("*").alias("n"), F.count(F.when(~F.col("probe"), 1)).alias("own")).where("n > 1 AND own > 0")
-    met = saved(keys.join(sizes, "key"), "line-groups")
-    wanted = met.select("id").distinct()
-    text = saved(_some(texts.withColumn("id", name), wanted), "line-texts")
-    short = met.join(text.select("id", F.length("line").alias("chars")), "id")
-    # lines of just long_chars meet shorter ones among the dense and longer ones here
-    warm = ((F.col("n") <= hot) | (F.col("chars") >= long_chars)) if limit == 1 else F.lit(True)
-    cool = short.where(warm)
-    left, right = cool.where("NOT probe").select("key", F.col("id").alias("u")), cool.select("key", F.col("id").alias("v"), "probe")
-    pairs = left.join(right, "key").where("u != v AND (probe OR u < v)").select("u", "v").distinct()
-    both = pairs.join(text.select(F.col("id").alias("u"), F.col("line").alias("s")), "u").join(text.select(F.col("id").alias("v"), F.col("line").alias("t")), "v")
-    links = _near(both, limit).select("u", "v")
-    if limit != 1:
-        return links
-    dense = text.join(short.where((F.col("n") > hot) & (F.col("chars") <= long_chars)).select("id").distinct(), "id")
-    if not dense.limit(1).count():
-        return links
-    n = F.length("line")
-    cut = F.transform(F.sequence(F.lit(1), n), lambda p: F.struct(p.alias("p"), F.concat(F.substring(F.col("line"), F.lit(1), p - 1), F.substring(F.col("line"), p + 1, n)).alias("rest")))
-    hashed = F.transform(cut, lambda x: F.struct(x["p"].alias("p"), F.xxhash64(x["rest"]).alias("x"), F.xxhash64(F.lit(7), x["rest"]).alias("y")))
-    without = saved(dense.select("id", n.alias("n"), F.explode(hashed).alias("h")).select("id", "n", "h.*"), "line-cuts")
-    star = without.groupBy("n", "p", "x", "y").agg(F.min("id").alias("v"), F.count("*").alias("of")).where("of > 1")
-    same = without.join(star, ["n", "p", "x", "y"]).where("id != v").select(F.col("id").alias("u"), "v")
-    whole = dense.select(F.col("id").alias("v"), F.xxhash64("line").alias("x"), F.xxhash64(F.lit(7), "line").alias("y"))
-    fewer = without.join(whole, ["x", "y"]).select(F.col("id").alias("u"), "v")
-    return links.union(same.union(fewer).distinct())
+def line_links(texts: DataFrame, limit: int = 1, few: int = 4) -> DataFrame:
+    """texts(a, b, line) distinct -> links (u, v) of structs (a, b); they span the same classes as all pairs within
+    the limit."""
+    pairs = saved(candidates(texts, limit, few).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "line-pairs")
+    side = lambda u, s: texts.select(F.struct("a", "b").alias(u), F.col("line").alias(s))
+    return _near(pairs.join(side("u", "s"), "u").join(side("v", "t"), "v"), limit).select("u", "v")
 
 
-#: So many names are sent to all tasks; more are joined by a shuffle.
-BROADCAST_ROWS = 500_000
+def _meeting(each: DataFrame, keys: list[str]) -> DataFrame:
+    """each(a, b, first, keys) -> a, b, first of the lines that share a key with another one that is indexed by it."""
+    own = F.array(*[F.struct(F.lit(k.startswith("own")).alias("own"), F.col(k).alias("g")) for k in keys])
+    rows = each.select("a", "b", "first", F.explode(F.array_distinct(own)).alias("x")).select("a", "b", "first", "x.*").where("g IS NOT NULL")
+    sizes = saved(rows.groupBy("g").agg(F.count("*").alias("n"), F.count_if("own").alias("indexed")).where("n > 1 AND indexed > 0").select("g"), "line-keys")
+    return rows.join(few_rows(sizes), "g", "left_semi").select("a", "b", "first").distinct()
 
 
-def _some(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """id, line: one row for each wanted id."""
-    few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    found = texts.select("id", "line").join(F.broadcast(wanted) if few else wanted, "id", "left_semi")
-    return found.groupBy("id").agg(F.first("line").alias("line"))
+def _place(docs: DataFrame) -> Column:
+    """An occurrence's rank by id (null first), text and line number: a number where ids are whole numbers."""
+    if docs.schema["id"].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint"):
+        id_ = F.coalesce(F.col("id").cast("decimal(20,0)"), F.expr("CAST(-9223372036854775809 AS DECIMAL(20,0))"))
+        rest = F.shiftrightunsigned("th", 33) * F.lit(1 << 31) + F.col("line_no")
+        return (id_ * F.lit(1 << 62).cast("decimal(19,0)") + rest.cast("decimal(19,0)")).cast("decimal(38,0)")
+    return F.struct("id", "th", "line_no")
 
 
-def removals(docs: DataFrame, limit: int = 1, min_chars: int = 20) -> DataFrame:
+def removals(docs: DataFrame, limit: int = 1, min_chars: int = 20, few: int = 4) -> DataFrame:
     """docs(id, th, text) -> id, th, removed (line numbers), for documents that lose lines."""
-    occ = occurrences(docs)
-    first = F.struct("id", "th", "line_no")
-    kept = F.when(F.length("line") >= min_chars, segment_keys(F.col("line"), limit))
-    # partial aggregation takes the copies of a common line before the shuffle
-    each = saved(occ.groupBy("a", "b").agg(F.min(first).alias("first"), F.count("*").alias("n"), F.first(kept).alias("keys")), "lines")
-    links = line_links(each.where("keys IS NOT NULL"), occ, limit)
-    classes = components(links)
-    named = each.select(F.concat(F.hex("a"), F.lit("-"), F.hex("b")).alias("id"), "a", "b", "first", "n")
-    member = named.join(classes, named["id"] == classes["node"], "left").withColumn("root", F.coalesce("root", "id"))
-    roots = classes.select("root").distinct().withColumn("linked", F.lit(True))
-    member = member.join(roots, "root", "left")
-    linked = member.where("linked")
-    keepers = linked.groupBy("root").agg(F.min("first").alias("keep"))
-    lost = linked.join(keepers, "root").select("a", "b", "keep").union(member.where("linked IS NULL AND n > 1").select("a", "b", F.col("first").alias("keep")))
-    gone = occ.select("id", "th", "line_no", "a", "b").join(lost, ["a", "b"]).where(~first.eqNullSafe(F.col("keep")))
+    if min_chars <= limit:
+        raise ValueError("min_chars must be over limit")
+    keys = line_keys(limit, min_chars)
+    found = occurrences(docs).withColumn("n", F.length("line"))
+    occ = saved(found.select("id", "th", "line_no", "a", "b", *[F.expr(sql).alias(k) for k, sql in keys.items()]), "line-places")
+    occ = occ.withColumn("first", _place(docs))
+    each = saved(occ.groupBy("a", "b").agg(F.min("first").alias("first"), F.count("*").alias("n"), *[F.max(k).alias(k) for k in keys]), "lines")
+    wanted = saved(_meeting(each, list(keys)), "line-wanted")
+    # the texts of those lines, from the documents of their first places
+    at = few_rows(wanted)
+    places = saved(occ.select("id", "th", "a", "b", "first").join(at, ["a", "b", "first"]).select("id", "th").distinct(), "line-documents").toDF("jid", "jth")
+    held = docs.join(few_rows(places), F.col("id").eqNullSafe(F.col("jid")) & (F.col("th") == F.col("jth")), "left_semi")
+    texts = occurrences(held).withColumn("first", _place(docs)).join(at, ["a", "b", "first"]).groupBy("a", "b").agg(F.first("line").alias("line"))
+    classes = components(line_links(saved(texts, "line-texts"), limit, few))
+    linked = saved(classes.union(classes.select("root", "root")).distinct().select("node.a", "node.b", "root"), "line-classes")
+    firsts = each.select("a", "b", "first").join(few_rows(linked), ["a", "b"])
+    keepers = firsts.groupBy("root").agg(F.min("first").alias("keep"))
+    alone = each.where("n > 1").select("a", "b", F.col("first").alias("keep")).join(few_rows(linked.select("a", "b")), ["a", "b"], "left_anti")
+    lost = saved(firsts.join(keepers, "root").select("a", "b", "keep").union(alone), "line-lost")
+    gone = occ.select("id", "th", "line_no", "a", "b", "first").join(few_rows(lost), ["a", "b"]).where("first != keep")
     return gone.groupBy("id", "th").agg(F.sort_array(F.collect_set("line_no")).alias("removed"))
 
 
-def dedup_lines(docs: DataFrame, limit: int = 1, min_chars: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, limit: int = 1, min_chars: int = 20, few: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with its columns, the text without removed lines, and _lines and _removed, their numbers."""
     at = docs.columns.index(text_col)
     names = [f"c{i}" for i in range(len(docs.columns))]
     own = docs.toDF(*names)
     own = own.withColumns({"id": F.col(f"c{docs.columns.index(id_col)}"), "text": F.col(f"c{at}")}).withColumn("th", F.xxhash64("text", F.length("text")))
-    gone = removals(own.select("id", "th", "text"), limit, min_chars).select(F.coalesce("id", F.lit(0)).alias("jid"), F.col("id").isNull().alias("jnull"), F.col("th").alias("jth"), "removed")
-    own = own.withColumns({"jid": F.coalesce("id", F.lit(0)), "jnull": F.col("id").isNull(), "jth": F.col("th")})
-    out = own.join(gone, ["jid", "jnull", "jth"], "left")
-    lines = F.split("text", "\n", -1)
-    left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("removed", i)), "\n")
-    out = out.withColumns({names[at]: F.when(F.col("removed").isNotNull(), left).otherwise(F.col("text")), "_lines": F.when(F.length("text") > 0, F.size(lines)).otherwise(0), "_removed": F.coalesce(F.size("removed"), F.lit(0))})
+    gone = removals(own.select("id", "th", "text"), limit, min_chars, few).toDF("jid", "jth", "removed")
+    out = own.join(gone, F.col("id").eqNullSafe(F.col("jid")) & (F.col("th") == F.col("jth")), "left")
+    # made once for each row, where the lambda would split the text again for each line
+    split = F.split("text", "\n", -1)
+    parts = F.array(F.struct(split.alias("lines"), F.array_except(F.sequence(F.lit(0), F.size(split) - 1), "removed").alias("stay")))
+    left = F.get(F.transform(parts, lambda p: F.array_join(F.transform(p["stay"], lambda i: F.get(p["lines"], i)), "\n")), F.lit(0))
+    out = out.withColumns({names[at]: F.when(F.col("removed").isNotNull(), left).otherwise(F.col("text")), "_lines": F.when(F.length("text") > 0, F.size(split)).otherwise(0), "_removed": F.coalesce(F.size("removed"), F.lit(0))})
     return out.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)], "_lines", "_removed")
