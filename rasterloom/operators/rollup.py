@@ -11,18 +11,18 @@ from ..functions.colour import luma_77
 MEANS = {"psnr": 4, "ssim": 6, "chroma_psnr": 4, "weighted_chroma_mae": 4, "source_mean_luma": 4}
 
 
-def _ordered_mean(name: str) -> Column:
-    """The mean of a group's values, added in the order of relative_path, so that it is the same on each run."""
-    values = F.transform(F.array_sort(F.collect_list(F.struct("relative_path", name))), lambda x: x[name])
-    return F.aggregate(values, F.lit(0.0), lambda s, x: s + x) / F.count(name)
+def exact_mean(name: str, places: int) -> Column:
+    """The mean of a column, rounded half to even. Values are added as decimals of 12 places, which is exact in any order
+    and needs no group in memory."""
+    total = F.sum(F.col(name).cast("decimal(30,12)"))
+    mean = total.cast("double") / F.count(name)
+    return F.rint(mean * 10**places) / 10**places
 
 
-def rollup(rows: DataFrame, places: dict[str, int] | None = MEANS) -> DataFrame:
-    """Of quality rows: all, by scene_group, by lighting_bucket, and by both. With places, means are exact: added in
-    order, rounded half to even at so many places; without, they are plain averages, which need no group in memory."""
+def rollup(rows: DataFrame, places: dict[str, int] = MEANS) -> DataFrame:
+    """Of quality rows: all, by scene_group, by lighting_bucket, and by both."""
     g = rows.cube("scene_group", "lighting_bucket")
-    mean = (lambda n: (F.rint(_ordered_mean(n) * 10 ** places[n]) / 10 ** places[n])) if places else (lambda n: F.avg(n))
-    return g.agg(F.count("*").alias("count"), F.sum("bytes").alias("total_bytes"), *[mean(n).alias(f"avg_{n}") for n in MEANS])
+    return g.agg(F.count("*").alias("count"), F.sum("bytes").alias("total_bytes"), *[exact_mean(n, p).alias(f"avg_{n}") for n, p in places.items()])
 
 
 def with_keys(rolled: DataFrame) -> DataFrame:

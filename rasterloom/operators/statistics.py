@@ -24,18 +24,20 @@ def tile_complexity(planes: DataFrame, tile_size: int, top: int = 255) -> DataFr
     column = Window.partitionBy("image_id", "tile_y", "tile_x", "x").orderBy("y")
     for name, w in (("r", row), ("d", column)):
         p = p.withColumns({f"{c}_{name}": F.lead(c).over(w) for c in ("yy", "cb", "cr")})
-    far = lambda c, n: F.abs(F.col(c) - F.col(f"{c}_{n}")) / float(top)
+    # whole numbers are added and divided once, so that no result depends on the order of addition
+    far = lambda c, n: F.abs(F.col(c) - F.col(f"{c}_{n}"))
     mid = (top + 1) // 2
-    p = p.withColumns({"dev": 0.5 * (F.abs(F.col("cb") - mid) + F.abs(F.col("cr") - mid)) / float(top), "luma": F.col("yy") / float(top)})
+    p = p.withColumn("dev", F.abs(F.col("cb") - mid) + F.abs(F.col("cr") - mid))
     for n in "rd":
-        p = p.withColumns({f"l_{n}": far("yy", n), f"c_{n}": 0.5 * (far("cb", n) + far("cr", n))})
-    edge = lambda k: F.greatest(F.lit(0.0), F.coalesce(f"{k}_r", F.lit(0.0)), F.coalesce(f"{k}_d", F.lit(0.0)))
-    share = lambda c: F.avg(F.when(c, 1.0).otherwise(0.0))
-    mean = lambda k: F.coalesce((F.coalesce(F.sum(f"{k}_r"), F.lit(0.0)) + F.coalesce(F.sum(f"{k}_d"), F.lit(0.0))) / F.nullif(F.count(f"{k}_r") + F.count(f"{k}_d"), F.lit(0)), F.lit(0.0))
+        p = p.withColumns({f"l_{n}": far("yy", n), f"c_{n}": far("cb", n) + far("cr", n)})
+    luma, dev = F.col("yy") / float(top), F.col("dev") / (2.0 * top)
+    edge = lambda k, scale: F.greatest(F.coalesce(f"{k}_r", F.lit(0)), F.coalesce(f"{k}_d", F.lit(0))) / (scale * top)
+    share = lambda c: F.count_if(c) / F.count("*")
+    mean = lambda k, scale: F.coalesce((F.coalesce(F.sum(f"{k}_r"), F.lit(0)) + F.coalesce(F.sum(f"{k}_d"), F.lit(0))) / F.nullif((F.count(f"{k}_r") + F.count(f"{k}_d")) * scale * top, F.lit(0.0)), F.lit(0.0))
     return p.groupBy("image_id", "tile_y", "tile_x").agg(
-        F.avg("dev").alias("mean_chroma_deviation"), F.max("dev").alias("max_chroma_deviation"), mean("c").alias("mean_chroma_gradient"), mean("l").alias("mean_luma_gradient"), F.avg("luma").alias("mean_luma"),
-        share(F.col("luma") >= 0.72).alias("bright_fraction"), share(F.col("luma") <= 0.18).alias("dark_fraction"), share(F.col("dev") > 0.18).alias("saturated_fraction"),
-        share((F.col("dev") > 0.14) & (edge("l") > 0.08) & (edge("c") > 0.04)).alias("strong_color_edge_fraction"), share((F.col("luma") >= 0.62) & (edge("l") > 0.08)).alias("highlight_edge_fraction"),
+        (F.sum("dev") / (F.count("*") * 2.0 * top)).alias("mean_chroma_deviation"), (F.max("dev") / (2.0 * top)).alias("max_chroma_deviation"), mean("c", 2.0).alias("mean_chroma_gradient"), mean("l", 1.0).alias("mean_luma_gradient"), (F.sum("yy") / (F.count("*") * float(top))).alias("mean_luma"),
+        share(luma >= 0.72).alias("bright_fraction"), share(luma <= 0.18).alias("dark_fraction"), share(dev > 0.18).alias("saturated_fraction"),
+        share((dev > 0.14) & (edge("l", 1.0) > 0.08) & (edge("c", 2.0) > 0.04)).alias("strong_color_edge_fraction"), share((luma >= 0.62) & (edge("l", 1.0) > 0.08)).alias("highlight_edge_fraction"),
     )
 
 
@@ -133,9 +135,11 @@ def normalized(counts: DataFrame, by: tuple[str, ...] = ("k",), scale: int = SCA
 
 
 def slots(freqs: DataFrame, probes: DataFrame, by: tuple[str, ...] = ("k",)) -> DataFrame:
-    """probes(by, slot) -> the symbol whose range of cumulative frequencies holds the slot."""
-    table = cumulative(freqs, by).select(*by, "symbol", "freq", "cum")
-    return probes.join(table, list(by)).where("slot >= cum AND slot < cum + freq")
+    """probes(by, slot) -> the symbol whose range of cumulative frequencies holds the slot. A table's ranges are laid out
+    slot by slot, no more than what its frequencies add up to, so that a probe meets one row."""
+    table = cumulative(freqs, by).select(*by, "symbol", "freq", "cum").where("freq > 0")
+    laid = table.withColumn("slot", F.explode(F.sequence(F.col("cum"), F.col("cum") + F.col("freq") - 1)))
+    return probes.withColumn("slot", F.col("slot").cast("bigint")).join(laid, [*by, "slot"])
 
 
 def unsupported(counts: DataFrame, freqs: DataFrame, by: tuple[str, ...] = ("k",)) -> DataFrame:

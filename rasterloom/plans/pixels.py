@@ -305,13 +305,12 @@ query("compare_images")(flagship)
 
 _ROWS = """rw AS (SELECT lower(p_brand) AS scene_group, CASE WHEN p_size < 15 THEN 'dark' WHEN p_size > 35 THEN 'bright' ELSE 'balanced' END AS lighting_bucket, p_partkey AS k,
   CAST(p_size * 100 AS BIGINT) AS bytes, round(p_retailprice / 50, 4) AS psnr, round(p_size / 51.0::DOUBLE, 6) AS ssim, round(p_retailprice / 45, 4) AS chroma_psnr, round(p_size / 70.0::DOUBLE, 4) AS weighted_chroma_mae, round(p_size / 60.0::DOUBLE, 4) AS source_mean_luma FROM part)"""
-#: Means of rounded values meet ties, which sums in another order would round the other way.
-_TIE = 1e-9
-_MEANS = ("psnr", "ssim", "chroma_psnr", "weighted_chroma_mae", "source_mean_luma")
+def _mean_sql(name: str, places: int) -> str:
+    total = f"CAST(sum(CAST({name} AS DECIMAL(30, 12))) AS DOUBLE)"
+    return f"round_even({total} / count({name}) * 1e{places}, 0) / 1e{places} AS avg_{name}"
 
 
-def _nudged(df: DataFrame) -> DataFrame:
-    return df.withColumns({f"avg_{n}": F.round(F.col(f"avg_{n}") + _TIE, 3) for n in _MEANS})
+_MEANS_SQL = ", ".join(_mean_sql(n, p) for n, p in R.MEANS.items())
 
 
 def _rows(spark, d) -> DataFrame:
@@ -325,23 +324,17 @@ def _rows(spark, d) -> DataFrame:
 
 @query(
     "agg15_grouping_sets",
-    f"WITH {_ROWS} SELECT scene_group, lighting_bucket, count(*) AS count, CAST(sum(bytes) AS BIGINT) AS total_bytes, {', '.join(f'round(avg({n}) + 1e-9, 3) AS avg_{n}' for n in _MEANS)} FROM rw GROUP BY CUBE (scene_group, lighting_bucket)",
+    f"WITH {_ROWS} SELECT scene_group, lighting_bucket, count(*) AS count, CAST(sum(bytes) AS BIGINT) AS total_bytes, {_MEANS_SQL} FROM rw GROUP BY CUBE (scene_group, lighting_bucket)",
 )
 def grouping_sets(spark, d):
-    return _nudged(R.rollup(_rows(spark, d), places=None))
+    return R.rollup(_rows(spark, d))
 
 
-@query("agg14_rollup", f"WITH {_ROWS} SELECT scene_group, count(*) AS count, CAST(sum(bytes) AS BIGINT) AS total_bytes, {', '.join(f'round(avg({n}) + 1e-9, 3) AS avg_{n}' for n in _MEANS)} FROM rw GROUP BY scene_group")
+@query("agg14_rollup", f"WITH {_ROWS} SELECT scene_group, count(*) AS count, CAST(sum(bytes) AS BIGINT) AS total_bytes, {_MEANS_SQL} FROM rw GROUP BY scene_group")
 def rollup_by_scene(spark, d):
-    out = R.rollup(_rows(spark, d), places=None).where("scene_group IS NOT NULL AND lighting_bucket IS NULL").drop("lighting_bucket")
-    return _nudged(out)
+    return R.rollup(_rows(spark, d)).where("scene_group IS NOT NULL AND lighting_bucket IS NULL").drop("lighting_bucket")
 
 
 @query("set2_distinct_scenes", f"WITH {_ROWS} SELECT DISTINCT scene_group FROM rw")
 def distinct_scenes(spark, d):
     return _rows(spark, d).select("scene_group").distinct()
-
-
-@query("snk8_metric_report", f"WITH {_ROWS} SELECT k AS id, scene_group, CAST(round(CASE WHEN bytes = 0 THEN 0 ELSE psnr / bytes END + 1e-9, 6) AS DOUBLE) AS size_ratio FROM rw")
-def metric_report(spark, d):
-    return _rows(spark, d).select(F.col("relative_path").cast("bigint").alias("id"), "scene_group", F.round(Q.size_ratio(F.col("psnr"), F.col("bytes")) + _TIE, 6).alias("size_ratio"))

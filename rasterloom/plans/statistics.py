@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..derive import BLK, PX, blocks, pixels, table, ycc_sql
 from ..functions.colour import rgb_to_ycbcr
 from ..operators import statistics as S
+from ..operators.order import numbered
 from . import query
 
 _Y, _CB, _CR = (f"CAST(round({e}) AS INTEGER)" for e in ycc_sql())
@@ -18,20 +19,21 @@ def _planes(spark, d) -> DataFrame:
     return pixels(spark, d).select("image_id", "y", "x", *[c.alias(n) for c, n in zip(out, ("yy", "cb", "cr"), strict=True)])
 
 
-_NAMES = ("mean_chroma_deviation", "max_chroma_deviation", "mean_chroma_gradient", "mean_luma_gradient", "mean_luma", "bright_fraction", "dark_fraction", "saturated_fraction", "strong_color_edge_fraction", "highlight_edge_fraction")
 _M = "255.0::DOUBLE"
 _TILES = f"""pl AS (SELECT image_id, y // 8 AS tile_y, x // 8 AS tile_x, y, x, {_Y} AS yy, {_CB} AS cb, {_CR} AS cr FROM px),
-nx AS (SELECT *, abs(yy - lead(yy) OVER r) / {_M} AS lr, abs(yy - lead(yy) OVER c) / {_M} AS ld, 0.5::DOUBLE * (abs(cb - lead(cb) OVER r) / {_M} + abs(cr - lead(cr) OVER r) / {_M}) AS cr_, 0.5::DOUBLE * (abs(cb - lead(cb) OVER c) / {_M} + abs(cr - lead(cr) OVER c) / {_M}) AS cd,
-  0.5::DOUBLE * (abs(cb - 128) + abs(cr - 128)) / {_M} AS dev, yy / {_M} AS luma FROM pl WINDOW r AS (PARTITION BY image_id, tile_y, tile_x, y ORDER BY x), c AS (PARTITION BY image_id, tile_y, tile_x, x ORDER BY y)),
-el AS (SELECT *, greatest(0, coalesce(lr, 0), coalesce(ld, 0)) AS le, greatest(0, coalesce(cr_, 0), coalesce(cd, 0)) AS ce FROM nx),
-tl AS (SELECT image_id, tile_y, tile_x, avg(dev) AS mean_chroma_deviation, max(dev) AS max_chroma_deviation, coalesce((coalesce(sum(cr_), 0) + coalesce(sum(cd), 0)) / nullif(count(cr_) + count(cd), 0), 0) AS mean_chroma_gradient,
-  coalesce((coalesce(sum(lr), 0) + coalesce(sum(ld), 0)) / nullif(count(lr) + count(ld), 0), 0) AS mean_luma_gradient, avg(luma) AS mean_luma, avg(CASE WHEN luma >= 0.72 THEN 1.0::DOUBLE ELSE 0 END) AS bright_fraction, avg(CASE WHEN luma <= 0.18 THEN 1.0::DOUBLE ELSE 0 END) AS dark_fraction,
-  avg(CASE WHEN dev > 0.18 THEN 1.0::DOUBLE ELSE 0 END) AS saturated_fraction, avg(CASE WHEN dev > 0.14 AND le > 0.08 AND ce > 0.04 THEN 1.0::DOUBLE ELSE 0 END) AS strong_color_edge_fraction, avg(CASE WHEN luma >= 0.62 AND le > 0.08 THEN 1.0::DOUBLE ELSE 0 END) AS highlight_edge_fraction FROM el GROUP BY ALL)"""
+nx AS (SELECT *, abs(yy - lead(yy) OVER r) AS lr, abs(yy - lead(yy) OVER c) AS ld, abs(cb - lead(cb) OVER r) + abs(cr - lead(cr) OVER r) AS cr_, abs(cb - lead(cb) OVER c) + abs(cr - lead(cr) OVER c) AS cd,
+  abs(cb - 128) + abs(cr - 128) AS dv FROM pl WINDOW r AS (PARTITION BY image_id, tile_y, tile_x, y ORDER BY x), c AS (PARTITION BY image_id, tile_y, tile_x, x ORDER BY y)),
+el AS (SELECT *, dv / 510.0::DOUBLE AS dev, yy / {_M} AS luma, greatest(coalesce(lr, 0), coalesce(ld, 0)) / {_M} AS le, greatest(coalesce(cr_, 0), coalesce(cd, 0)) / 510.0::DOUBLE AS ce FROM nx),
+tl AS (SELECT image_id, tile_y, tile_x, CAST(sum(dv) AS DOUBLE) / (count(*) * 510.0::DOUBLE) AS mean_chroma_deviation, max(dv) / 510.0::DOUBLE AS max_chroma_deviation,
+  coalesce(CAST(coalesce(sum(cr_), 0) + coalesce(sum(cd), 0) AS DOUBLE) / nullif((count(cr_) + count(cd)) * 510.0::DOUBLE, 0), 0) AS mean_chroma_gradient,
+  coalesce(CAST(coalesce(sum(lr), 0) + coalesce(sum(ld), 0) AS DOUBLE) / nullif((count(lr) + count(ld)) * {_M}, 0), 0) AS mean_luma_gradient, CAST(sum(yy) AS DOUBLE) / (count(*) * {_M}) AS mean_luma,
+  {', '.join(f"CAST(count(*) FILTER ({c}) AS DOUBLE) / count(*) AS {n}" for c, n in (("luma >= 0.72", "bright_fraction"), ("luma <= 0.18", "dark_fraction"), ("dev > 0.18", "saturated_fraction"), ("dev > 0.14 AND le > 0.08 AND ce > 0.04", "strong_color_edge_fraction"), ("luma >= 0.62 AND le > 0.08", "highlight_edge_fraction")))}
+  FROM el GROUP BY ALL)"""
 
 
-@query("agg6_tile_complexity", f"WITH {PX}, {_TILES} SELECT image_id, tile_y, tile_x, {', '.join(f'round({n}, 6) AS {n}' for n in _NAMES)} FROM tl")
+@query("agg6_tile_complexity", f"WITH {PX}, {_TILES} SELECT * FROM tl")
 def tile_complexity(spark, d):
-    return S.tile_complexity(_planes(spark, d), 8).withColumns({n: F.round(n, 6) for n in _NAMES})
+    return S.tile_complexity(_planes(spark, d), 8)
 
 
 def _ladder_sql(weights: dict, most: float, rungs: list) -> str:
@@ -45,13 +47,12 @@ def _rules_sql(rules: list) -> str:
 
 @query(
     "prj25_adaptive_quality",
-    f"""WITH {PX}, {_TILES}, rt AS (SELECT image_id, tile_y, tile_x, {', '.join(f'round({n}, 6) AS {n}' for n in _NAMES)} FROM tl)
+    f"""WITH {PX}, {_TILES}, rt AS (SELECT * FROM tl)
     SELECT image_id, tile_y, tile_x, round(CAST(least(least(greatest(75 + greatest({_ladder_sql(*S.HIGHLIGHT)}, {_rules_sql(S.LUMA_RULES)}), 1), 100), 78.0) AS DOUBLE), 3) AS luma_quality,
     round(CAST(least(least(greatest(81 + greatest({_ladder_sql(*S.DETAIL)}, {_ladder_sql(*S.PROTECTION)}, {_rules_sql(S.CHROMA_RULES)}), 1), 100), 83.5) AS DOUBLE), 3) AS chroma_quality FROM rt""",
 )
 def adaptive_quality(spark, d):
-    t = S.tile_complexity(_planes(spark, d), 8).withColumns({n: F.round(n, 6) for n in _NAMES})
-    return S.adaptive_quality(t, 75.0).select("image_id", "tile_y", "tile_x", F.round("luma_quality", 3).alias("luma_quality"), F.round("chroma_quality", 3).alias("chroma_quality"))
+    return S.adaptive_quality(S.tile_complexity(_planes(spark, d), 8), 75.0).select("image_id", "tile_y", "tile_x", F.round("luma_quality", 3).alias("luma_quality"), F.round("chroma_quality", 3).alias("chroma_quality"))
 
 
 @query("agg17_average_tile_score", f"WITH {PX}, t AS (SELECT image_id, y // 8 AS ty, x // 8 AS tx, CAST(sum((g - (g // 8) * 8) * (g - (g // 8) * 8)) AS DOUBLE) / count(*) AS mse FROM px GROUP BY ALL) SELECT image_id, round(avg(CASE WHEN mse < 1e-10 THEN 100.0::DOUBLE ELSE least(greatest((10 * log10(65025.0::DOUBLE / mse) - 20) * 2.5::DOUBLE, 0), 100) END), 5) AS score FROM t GROUP BY 1")
@@ -241,11 +242,11 @@ for _w, _name in ((1, "ent14_presence_bits"), (2, "ent15_sign_modes"), (4, "ent1
         return S.packed_bits(e, "s", "p", "v", w)
 
 
-@query("ent19_unpack_indices", f"WITH {_EV} SELECT s, p AS place, v AS value FROM ev WHERE s < (SELECT max(s) FROM ev)")
+@query("ent19_unpack_indices", f"WITH {_EV} SELECT s, p AS place, v AS value FROM ev")
 def unpack_indices(spark, d):
     e = _events(spark, d)
-    e = e.join(e.agg(F.max("s").alias("last")), F.col("s") < F.col("last"))
-    return S.unpacked_bits(S.packed_bits(e, "s", "p", "v", 2), "s", 2)
+    n = e.groupBy("s").agg(F.max("p").alias("last"))  # a stream's length goes with it, as its last byte may be partial
+    return S.unpacked_bits(S.packed_bits(e, "s", "p", "v", 2), "s", 2).join(n, "s").where("place <= last").drop("last")
 
 
 @query("agg18_all_same", f"WITH {_EV}, b AS (SELECT s * 64 + p // 4 AS g, v FROM ev) SELECT g, min(v) = max(v) AS same, bool_and(v <> 0) AS all_set, bool_or(v <> 0) AS any_set FROM b GROUP BY g")
@@ -256,10 +257,8 @@ def all_same(spark, d):
 
 @query("srt2_block_order", f"WITH {BLK} SELECT block_id, CAST(row_number() OVER (ORDER BY block_id // 8, block_id % 8) - 1 AS INTEGER) AS n FROM bl")
 def block_order(spark, d):
-    from pyspark.sql import Window
-
-    b = blocks(spark, d).select("block_id")
-    return b.select("block_id", (F.row_number().over(Window.orderBy(F.floor(F.col("block_id") / 8), F.col("block_id") % 8)) - 1).alias("n"))
+    b = blocks(spark, d).select("block_id", F.floor(F.col("block_id") / 8).alias("row"), (F.col("block_id") % 8).alias("column"))
+    return numbered(b, ["row", "column", "block_id"]).select("block_id", F.col("n").cast("int"))
 
 
 @query("jn10_plane_pairing", f"WITH {_Q}, s AS (SELECT block_id, CAST(coalesce(max(CASE WHEN q <> 0 THEN k + 1 END), 0) AS INTEGER) AS span FROM cf GROUP BY 1) SELECT a.block_id // 2 AS pair, greatest(a.span, b.span) AS span FROM s a JOIN s b ON b.block_id = a.block_id + 1 WHERE a.block_id % 2 = 0")

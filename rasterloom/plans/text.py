@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..derive import table
 from ..functions import text as T
 from ..operators import match as M
+from ..operators.order import numbered
 from . import query
 
 #: File names made of urls: folder, stem and ending, in mixed case.
@@ -147,9 +148,8 @@ def first_suggestion(spark, d):
 
 @query("srt1_path_order", f"WITH {_FILES} SELECT page_id, CAST(row_number() OVER (ORDER BY lower(path), page_id) AS INTEGER) AS n FROM fl")
 def path_order(spark, d):
-    from pyspark.sql import Window
-
-    return _files(spark, d).select("page_id", F.row_number().over(Window.orderBy(F.lower("path"), "page_id")).alias("n"))
+    f = _files(spark, d).select("page_id", F.lower("path").alias("lower"))
+    return numbered(f, ["lower", "page_id"]).select("page_id", (F.col("n") + 1).cast("int").alias("n"))
 
 
 def _fixed(x: str) -> str:
