@@ -126,5 +126,5 @@ def text_of(e: Entry) -> tuple[str | None, str | None]:
     if e.type_id == STRUCT:
         import json
 
-        return json.dumps([{"tag": x.tag, "value": text_of(x)[0]} for x in v]), None
+        return json.dumps([{"tag": x.tag, "type": x.type_id, "value": text_of(x)[0]} for x in v]), None
     return str(v), None

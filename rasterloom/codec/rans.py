@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import accumulate
+from functools import cached_property
 
 import numpy as np
 
@@ -15,41 +15,50 @@ LOW = 1 << 23  # a state is at least this between symbols
 
 
 def normalize(counts: Sequence[int]) -> list[int]:
+    return shares(counts).tolist()
+
+
+def shares(counts: Sequence[int]) -> np.ndarray:
     """Frequencies that add up to SCALE, 1 at least for what occurs; all alike if nothing does."""
-    n = len(counts)
-    total = sum(counts)
+    c = np.asarray(counts, np.int64)
+    n, total = len(c), int(c.sum())
     if not total:
         base, more = divmod(SCALE, n)
-        return [base + (i < more) for i in range(n)]
-    exact = [c * SCALE / total for c in counts]
-    f = [max(1, int(x)) if c else 0 for c, x in zip(counts, exact, strict=True)]
-    used = [i for i in range(n) if counts[i]]
-    while (over := sum(f) - SCALE) > 0:
-        for i in sorted((i for i in used if f[i] > 1), key=lambda i: (exact[i] - f[i], i))[: max(1, over)][:1]:
-            f[i] -= 1
-    if (short := SCALE - sum(f)) > 0:
-        for i in sorted(used, key=lambda i: (f[i] - exact[i], i))[:short]:
-            f[i] += 1
-    return f
+        return base + (np.arange(n) < more).astype(np.int64)
+    used = np.flatnonzero(c)
+    exact = c[used] * SCALE / total
+    f = np.maximum(1, exact.astype(np.int64))
+    for _ in range(int(f.sum()) - SCALE):  # one at a time, where there is most above the exact share
+        f[np.argmin(np.where(f > 1, exact - f, np.inf))] -= 1
+    if (short := SCALE - int(f.sum())) > 0:
+        f[np.argsort(f - exact, kind="stable")[:short]] += 1
+    out = np.zeros(n, np.int64)
+    out[used] = f
+    return out
 
 
 class Table:
     def __init__(self, freqs: Sequence[int]):
-        if sum(freqs) != SCALE:
-            raise CodecError("RansError", f"frequencies add up to {sum(freqs)}")
-        self.freq = list(map(int, freqs))
-        self.cum = [0, *accumulate(self.freq)][:-1]
-        self._slots: list[int] | None = None
+        f = np.asarray(freqs, np.int64)
+        if (total := int(f.sum())) != SCALE:
+            raise CodecError("RansError", f"frequencies add up to {total}")
+        self.array = f
+
+    @cached_property
+    def freq(self) -> list[int]:
+        return self.array.tolist()
+
+    @cached_property
+    def cum(self) -> list[int]:
+        return (np.cumsum(self.array) - self.array).tolist()
 
     @classmethod
     def of_counts(cls, counts: Sequence[int]) -> Table:
-        return cls(normalize(counts))
+        return cls(shares(counts))
 
-    @property
+    @cached_property
     def slots(self) -> list[int]:
-        if self._slots is None:
-            self._slots = np.repeat(np.arange(len(self.freq)), self.freq).tolist()
-        return self._slots
+        return np.repeat(np.arange(len(self.array)), self.array).tolist()
 
 
 def encode(symbols: Sequence[int], table: Table) -> bytes:

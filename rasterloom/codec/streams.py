@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import struct
+from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
 import numpy as np
 
 from . import CodecError, Reader
-from .rans import SCALE, Table, decode, encode
+from .rans import SCALE, Table, decode, encode, shares
 
 # Numbers of the table encodings and of the bank's modes, by name.
 SINGLE, DENSE16, SPARSE16, DENSE8, SPARSE8, REUSE, DELTA8 = range(7)
@@ -30,6 +31,7 @@ class Syntax:
     elide: bool = False
     significance: bool = False
     sign_modes: bool = False
+    cluster: bool = True  # the writer's choice alone: ranks of a bank may share a table that is near to their own
 
     @property
     def symbols(self) -> int:
@@ -127,10 +129,13 @@ def read_presence(r: Reader, n: int) -> np.ndarray:
 # --- tables -----------------------------------------------------------------------------------------------------------
 
 
-def write_table(freq: list[int], before: list[int] | None = None) -> bytes:
-    if before == freq:
+Frequencies = Sequence[int] | np.ndarray
+
+
+def write_table(freq: Frequencies, before: Frequencies | None = None) -> bytes:
+    f = np.asarray(freq)
+    if before is not None and np.array_equal(f, before):
         return bytes([REUSE])
-    f = np.array(freq)
     used = np.flatnonzero(f)
     if len(used) == 1:
         return struct.pack("<BH", SINGLE, used[0])
@@ -185,15 +190,13 @@ def read_table(r: Reader, n: int, before: list[int] | None = None) -> list[int]:
     return f.tolist()
 
 
-def write_bank(tables: list[list[int]]) -> bytes:
+def write_bank(tables: list[Frequencies]) -> bytes:
     if not tables:
         return b""
-    distinct: list[list[int]] = []
-    index = []
-    for t in tables:
-        if t not in distinct:
-            distinct.append(t)
-        index.append(distinct.index(t))
+    tables = [np.asarray(t) for t in tables]
+    known: dict[bytes, int] = {}
+    index = [known.setdefault(t.tobytes(), len(known)) for t in tables]
+    distinct = [tables[index.index(i)] for i in range(len(known))]
     each = [write_table(t) for t in distinct]
     body = bytes([len(distinct)]) + b"".join(each) if len(distinct) < 256 else b""
     ways = [(INLINE, b"".join(write_table(t, tables[i - 1] if i else None) for i, t in enumerate(tables)))]
@@ -230,9 +233,70 @@ def read_bank(r: Reader, count: int, n: int) -> list[list[int]]:
     return [bank[i] for i in index]
 
 
-def _legacy(freq: list[int]) -> bytes:
-    used = [i for i, f in enumerate(freq) if f]
-    return struct.pack("<HH", used[0], used[-1]) + np.array(freq[used[0] : used[-1] + 1], "<u2").tobytes()
+NEAREST, PASSES = 8, 2
+
+
+class Sharing:
+    """Which of a bank's tables each rank uses. A rank may take one of the tables nearest to its own that has a frequency
+    for all of its symbols, where the bank shrinks by more than its symbols grow. Symbols are priced by the bits they
+    take under a table, so no trial encodes anything."""
+
+    def __init__(self, tables: list[np.ndarray], counts: list[np.ndarray], elide: bool):
+        self.counts, self.elide = counts, elide
+        self.used = [np.flatnonzero(c) for c in counts]
+        known: dict[bytes, int] = {}
+        self.at = [known.setdefault(t.tobytes(), len(known)) for t in tables]
+        self.bank = [tables[self.at.index(i)] for i in range(len(known))]
+        self.single = [_single(t) for t in self.bank]
+        flat = np.stack(self.bank)
+        self.bits = np.where(flat > 0, np.log2(SCALE / np.maximum(flat, 1)), np.inf)
+        self.apart = np.abs(flat[:, None, :] - flat[None, :, :]).sum(axis=2)
+        self.alone = [len(write_table(t)) for t in self.bank]
+        self.after: dict[tuple[int, int], int] = {}
+
+    def price(self, rank: int, table: int) -> float:
+        """Bytes of a rank's symbols; infinite if one has no frequency."""
+        used, only = self.used[rank], self.single[table]
+        if not len(used) or (self.elide and only is not None):
+            return 0.0 if not len(used) or (len(used) == 1 and used[0] == only) else np.inf
+        return 8 + float((self.counts[rank][used] * self.bits[table][used]).sum()) / 8
+
+    def bank_size(self, at: list[int]) -> int:
+        """As write_bank's choice would have it."""
+        used = dict.fromkeys(at)
+        body, n = 1 + sum(self.alone[t] for t in used), len(at)
+        inline = self.alone[at[0]]
+        for a, b in zip(at, at[1:]):
+            if (a, b) not in self.after:
+                self.after[a, b] = len(write_table(self.bank[b], self.bank[a]))
+            inline += self.after[a, b]
+        ways = [inline, *([self.alone[at[0]]] if len(used) == 1 else []), *[body + -(-n * bits // 8) for bits, most in WIDTH.values() if len(used) <= most], *([body + n] if len(used) < 256 else [])]
+        return 1 + min(ways)
+
+    def choose(self) -> list[np.ndarray]:
+        bank, prices = self.bank_size(self.at), [self.price(k, t) for k, t in enumerate(self.at)]
+        for _ in range(PASSES):
+            changed = False
+            for rank in range(len(self.at)):
+                if not self.counts[rank].any():
+                    continue
+                in_use = sorted({t for t in self.at if t != self.at[rank]}, key=lambda t: (self.apart[self.at[rank], t], t))[:NEAREST]
+                for t in in_use:
+                    price = self.price(rank, t)
+                    if not np.isfinite(price):
+                        continue
+                    size = self.bank_size([*self.at[:rank], t, *self.at[rank + 1 :]])
+                    if size + price < bank + prices[rank]:
+                        self.at[rank], bank, prices[rank], changed = t, size, price, True
+            if not changed:
+                break
+        return [self.bank[t] for t in self.at]
+
+
+def _legacy(freq: Frequencies) -> bytes:
+    f = np.asarray(freq)
+    used = np.flatnonzero(f)
+    return struct.pack("<HH", used[0], used[-1]) + f[used[0] : used[-1] + 1].astype("<u2").tobytes()
 
 
 def _read_legacy(r: Reader, n: int) -> list[int]:
@@ -247,11 +311,12 @@ def _read_legacy(r: Reader, n: int) -> list[int]:
 # --- coefficients -----------------------------------------------------------------------------------------------------
 
 
-def _single(freq: list[int]) -> int | None:
-    return freq.index(SCALE) if SCALE in freq else None
+def _single(freq: Frequencies) -> int | None:
+    at = np.flatnonzero(np.asarray(freq) == SCALE)
+    return int(at[0]) if len(at) else None
 
 
-def _stream(q: np.ndarray, freq: list[int], s: Syntax, sparse: bool) -> tuple[bytes, int]:
+def _stream(q: np.ndarray, freq: np.ndarray, s: Syntax, sparse: bool) -> tuple[bytes, int]:
     """One rank's values of the blocks that reach it -> bytes, sign mode."""
     out, mode = b"", RAW
     coded = q[q != 0] if sparse else q
@@ -298,9 +363,9 @@ def _unstream(r: Reader, n: int, freq: list[int], s: Syntax, sparse: bool, mode:
 def write_planes(planes: list[np.ndarray], spans: np.ndarray, extent: int, s: Syntax) -> bytes:
     """planes: one, or the two chroma planes, which share tables and spans; each blocks x 64 in zigzag order."""
     limit = extent if s.extents else 64
-    none = [0] * s.symbols
+    none = np.zeros(s.symbols, np.int64)
     none[0 if s.split_signs else OFFSET] = SCALE
-    tables: list[list[int]] = []
+    tables: list[np.ndarray] = []
     streams: list[list[bytes]] = []
     sparse_flags, modes = [], [[] for _ in planes]
     for k in range(limit):
@@ -312,7 +377,7 @@ def write_planes(planes: list[np.ndarray], spans: np.ndarray, extent: int, s: Sy
             options = []
             for sparse in (False, True) if s.significance else (False,):
                 values = np.concatenate([h[h != 0] if sparse else h for h in here])
-                freq = Table.of_counts(np.bincount(s.symbol(values), minlength=s.symbols).tolist()).freq if len(values) else none
+                freq = shares(np.bincount(s.symbol(values), minlength=s.symbols)) if len(values) else none
                 made = [_stream(h, freq, s, sparse) for h in here]
                 table = write_table(freq, before) if s.adaptive_tables else _legacy(freq)
                 options.append((len(table) + sum(len(m[0]) for m in made), freq, made, sparse))
@@ -323,6 +388,8 @@ def write_planes(planes: list[np.ndarray], spans: np.ndarray, extent: int, s: Sy
         for m, x in zip(modes, best[2], strict=True):
             m.append(x)
         sparse_flags.append(best[3])
+    if s.bank and s.cluster and limit > 1:
+        tables, streams, modes = _clustered(planes, spans, tables, streams, modes, sparse_flags, s)
     out = [pack_bits(sparse_flags, 1)] if s.significance else []
     if s.split_signs and s.sign_modes:
         out += [pack_bits(m, 2) for m in modes]
@@ -335,6 +402,23 @@ def write_planes(planes: list[np.ndarray], spans: np.ndarray, extent: int, s: Sy
     return b"".join(out)
 
 
+def _clustered(planes: list[np.ndarray], spans: np.ndarray, tables: list, streams: list, modes: list, sparse: list[bool], s: Syntax) -> tuple[list, list, list]:
+    """Tables, streams and sign modes with tables shared, where that is smaller."""
+    here = [[p[spans > k, k] for p in planes] for k in range(len(tables))]
+    coded = [np.concatenate([h[h != 0] if sparse[k] else h for h in hs]) for k, hs in enumerate(here)]
+    counts = [np.bincount(s.symbol(v), minlength=s.symbols) for v in coded]
+    shared = Sharing(tables, counts, s.elide).choose()
+    again, signs = list(streams), [list(m) for m in modes]
+    for k, (old, new) in enumerate(zip(tables, shared, strict=True)):
+        if len(coded[k]) and not np.array_equal(old, new):
+            made = [_stream(h, new, s, sparse[k]) for h in here[k]]
+            again[k] = [m[0] for m in made]
+            for m, x in zip(signs, made, strict=True):
+                m[k] = x[1]
+    size = lambda ts, ss: len(write_bank(ts)) + sum(len(x) for xs in ss for x in xs)
+    return (shared, again, signs) if size(shared, again) < size(tables, streams) else (tables, streams, modes)
+
+
 def read_planes(r: Reader, n: int, spans: np.ndarray, extent: int, s: Syntax) -> list[np.ndarray]:
     if s.bank and not s.adaptive_tables:
         raise CodecError("DecodeFailed", "a bank needs adaptive tables")

@@ -45,6 +45,13 @@ def split_blocks(px: DataFrame, value: str = "v") -> DataFrame:
     return b.select("image_id", "by", "bx", F.transform(F.sequence(F.lit(0), F.lit(63)), lambda p: F.coalesce(F.element_at("m", p), F.lit(0))).alias("v"))
 
 
+def completed(px: DataFrame, value: str = "v") -> DataFrame:
+    """px as whole rectangles: image_id, y, x, value; places that a partial image lacks hold 0."""
+    size = px.groupBy("image_id").agg(F.max("x").alias("w"), F.max("y").alias("h"))
+    all_ = size.select("image_id", "w", F.explode(F.sequence(F.lit(0), F.col("h"))).alias("y")).select("image_id", "y", F.explode(F.sequence(F.lit(0), F.col("w"))).alias("x"))
+    return all_.join(px.select("image_id", "y", "x", value), ["image_id", "y", "x"], "left").withColumn(value, F.coalesce(value, F.lit(0)))
+
+
 def join_blocks(blocks: DataFrame, value: str = "v") -> DataFrame:
     """split_blocks undone, padding included."""
     out = blocks.select("image_id", "by", "bx", F.posexplode("v").alias("p", value))

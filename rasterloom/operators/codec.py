@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..codec import CodecError, image, lossless, lossy
-from ..codec.container import Header, Tile, read_chunks, write
+from ..codec.container import TYPES, Header, Tile, read_chunks, write
 from ..codec.metablock import Entry, pack
+from ..functions.binary import le_bytes
 from ..schemas import FLAGS
 
 PIXELS = "image_id bigint, y int, x int, r int, g int, b int, a int"
@@ -66,6 +68,22 @@ def assemble_files(coded: DataFrame, config: image.Config, alpha: bool) -> DataF
     return coded.groupBy("image_id").applyInPandas(join, "image_id bigint, content binary, score double")
 
 
+def chunk_list(headers: DataFrame, tiles: DataFrame, meta: DataFrame | None = None) -> DataFrame:
+    """headers(image_id, width, ..., max_fall), tiles(image_id, tile_x, tile_y, layer_flags, payload) and meta(image_id,
+    payload) -> chunks of whole files: the header, metadata, the tiles row by row, the end."""
+    cell = lambda c, n: le_bytes(F.col(c), n)
+    sizes = {"width": 4, "height": 4, "bit_depth": 1, "primaries": 1, "transfer": 1, "matrix": 1, "flags": 2, "tile_size_log2": 1, "max_cll": 2, "max_fall": 2}
+    none = F.unhex(F.lit(""))
+    row = lambda df, kind, order, payload: df.select("image_id", F.lit(kind).alias("type"), F.lit(TYPES[kind]).alias("flags"), order.alias("_at"), payload.alias("payload"))
+    at = lambda k, y=F.lit(0), x=F.lit(0): F.struct(F.lit(k).alias("k"), y.alias("y"), x.alias("x"))
+    tile = F.concat(cell("tile_x", 2), cell("tile_y", 2), cell("layer_flags", 1), le_bytes(F.octet_length("payload"), 4), F.col("payload"))
+    parts = [row(headers, "FHDR", at(0), F.concat(*[cell(c, n) for c, n in sizes.items()])), row(tiles, "TILE", at(2, F.col("tile_y"), F.col("tile_x")), tile), row(headers, "FEND", at(3), none)]
+    parts += [row(meta, "META", at(1), F.col("payload"))] if meta is not None else []
+    out = reduce(DataFrame.unionByName, parts)
+    seq = F.row_number().over(Window.partitionBy("image_id").orderBy("_at")) - 1
+    return out.select(F.col("image_id").cast("string").alias("image_id"), seq.alias("seq"), "type", "flags", F.octet_length("payload").cast("bigint").alias("size"), "payload")
+
+
 def decode(files: DataFrame, region: tuple[int, int, int, int] | None = None) -> DataFrame:
     """files(image_id, content) -> pixels, a null where there is no alpha, and _error_code (a row without pixels) for a
     file that can't be decoded. region: x, y, width, height; tiles outside of it aren't decoded."""
@@ -123,12 +141,12 @@ def info(files: DataFrame) -> DataFrame:
     return files.select("image_id", "content").mapInPandas(run, "image_id bigint, width bigint, height bigint, bit_depth int, lossless boolean, has_alpha boolean, frame_count int, _error_code string")
 
 
-def lossless_bytes(px: DataFrame) -> DataFrame:
-    """image_id, bytes of the lossless tile."""
+def lossless_tiles(px: DataFrame) -> DataFrame:
+    """image_id, payload of the lossless tile."""
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         a = _array(pdf, False)
         rgba = np.concatenate([a, np.full((*a.shape[:2], 1), 255, np.uint8)], axis=2)
-        return pd.DataFrame({"image_id": [key[0]], "bytes": [len(lossless.encode_tile(rgba))]})
+        return pd.DataFrame({"image_id": [key[0]], "payload": [lossless.encode_tile(rgba)]})
 
-    return px.groupBy("image_id").applyInPandas(run, "image_id bigint, bytes bigint")
+    return px.groupBy("image_id").applyInPandas(run, "image_id bigint, payload binary")

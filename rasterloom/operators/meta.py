@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import iso_from_micros, json_escape
 from ..schemas import NAMESPACES
 
 KEY = ["image_id", "ns", "tag"]
@@ -154,11 +155,46 @@ def regions(entries: DataFrame) -> DataFrame:
     return r.select("image_id", "ord", *[field(n) for n in ("NAME", "TYPE", "CONFIDENCE", "PERSON_NAME", "OBJECT_CLASS")])
 
 
+def _short(v: Column, digits: int = 10) -> Column:
+    """A double with so many digits that count, without zeros at the end, in powers of ten where it is very large or
+    small."""
+    sci = F.format_string(f"%.{digits - 1}e", v)
+    power = F.regexp_extract(sci, "e([+-].*)$", 1).cast("int")
+    bare = lambda c: F.when(F.instr(c, ".") > 0, F.regexp_replace(c, r"\.?0+$", "")).otherwise(c)
+    plain = F
+    for k in range(-4, digits):
+        plain = plain.when(power == k, bare(F.format_string(f"%.{digits - 1 - k}f", v)))
+    return F.when(v == 0, "0").otherwise(plain.otherwise(F.concat(bare(F.substring_index(sci, "e", 1)), F.lit("e"), F.substring_index(sci, "e", -1))))
+
+
+def json_value(type_id: Column, value: Column, lang: Column | None = None, opaque: Column | None = None) -> Column:
+    """A value's JSON, by its type: numbers bare, a rational as an object, a text with a language as an object of it."""
+    quoted = lambda c: F.concat(F.lit('"'), json_escape(c), F.lit('"'))
+    language = F.when(F.coalesce(lang, F.lit("")) == "", "default").otherwise(lang) if lang is not None else F.lit("default")
+    parts = F.from_json(value, "array<struct<tag:int,type:int,value:string>>")
+    field = lambda x: F.concat(quoted(x["tag"].cast("string")), F.lit(":"), F.when(x["type"].between(1, 7), x["value"]).otherwise(quoted(x["value"])))
+    out = (
+        F.when(type_id == 8, F.concat(F.lit('{"numerator":'), F.substring_index(value, "/", 1), F.lit(',"denominator":'), F.substring_index(value, "/", -1), F.lit("}")))
+        .when(type_id == 7, _short(F.when(type_id == 7, value).cast("double")))
+        .when(type_id < 7, value)
+        .when(type_id == LSTR, F.concat(F.lit("{"), quoted(language), F.lit(":"), quoted(value), F.lit("}")))
+        .when(type_id == 12, F.replace(value, F.lit(", "), F.lit(",")))
+        .when(type_id == STRUCT, F.concat(F.lit("{"), F.array_join(F.transform(parts, field), ","), F.lit("}")))
+        .when(type_id == 14, quoted(iso_from_micros(F.when(type_id == 14, value).cast("bigint"))))
+        .otherwise(quoted(value))
+    )
+    if opaque is not None:
+        out = F.when(opaque.isNotNull(), F.concat(F.lit('"<opaque '), F.octet_length(opaque).cast("string"), F.lit(' bytes>"'))).otherwise(out)
+    return out
+
+
 def to_json(entries: DataFrame) -> DataFrame:
-    """image_id, json: an object for each namespace, in order of numbers, of keys 0x%04X with texts."""
-    key = F.format_string("0x%04X", "tag")
-    of_ns = find_all(entries).groupBy("image_id", "ns").agg(F.array_sort(F.collect_list(F.struct("ord", key.alias("k"), "value"))).alias("es"))
-    of_ns = of_ns.select("image_id", "ns", F.transform("es", lambda e: F.struct(e["k"], e["value"])).alias("es"))
-    out = of_ns.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("ns", "es"))).alias("all"))
-    named = F.transform("all", lambda n: F.struct(namespace_name(n["ns"]), F.map_from_entries(n["es"])))
-    return out.select("image_id", F.to_json(F.map_from_entries(named)).alias("json"))
+    """image_id, json: an object for each namespace, in order of numbers, of keys 0x%04X with typed values, in the order of
+    the entries, repeated ones included."""
+    has = lambda c: F.col(c) if c in entries.columns else None
+    line = F.concat(F.format_string('    "0x%04X": ', "tag"), json_value(F.col("type_id"), F.col("value"), has("lang"), has("opaque")))
+    of_ns = entries.groupBy("image_id", "ns").agg(F.array_sort(F.collect_list(F.struct("ord", line.alias("line")))).alias("es"))
+    body = F.array_join(F.transform("es", lambda e: e["line"]), ",\n")
+    of_ns = of_ns.select("image_id", "ns", F.concat(F.lit('  "'), namespace_name(F.col("ns")), F.lit('": {\n'), body, F.lit("\n  }")).alias("part"))
+    all_ = of_ns.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("ns", "part"))).alias("all"))
+    return all_.select("image_id", F.concat(F.lit("{\n"), F.array_join(F.transform("all", lambda n: n["part"]), ",\n"), F.lit("\n}\n")).alias("json"))

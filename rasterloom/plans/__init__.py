@@ -22,4 +22,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load() -> None:
-    from . import blocks, codec, meta, pixels, statistics, text  # noqa: F401
+    from . import blocks, codec, files, meta, pixels, statistics, text  # noqa: F401

@@ -32,11 +32,11 @@ def block_split(spark, d):
     return b.select("image_id", "by", "bx", F.posexplode("v").alias("pos", "v"))
 
 
-@query("jn3_tile_overlay", f"WITH {PX} SELECT image_id, y, x, g FROM px WHERE image_id < (SELECT max(image_id) FROM px)")
+@query("jn3_tile_overlay", f"WITH {PX} SELECT image_id, y, x, g FROM px")
 def tile_overlay(spark, d):
+    """Blocks are padded; what takes part in the overlay is the image's own places, partial or not."""
     px = pixels(spark, d)
-    whole = px.join(px.agg(F.max("image_id").alias("last")), F.col("image_id") < F.col("last"))
-    return B.join_blocks(B.split_blocks(whole, "g"), "g")
+    return B.join_blocks(B.split_blocks(px, "g"), "g").join(px.select("image_id", "y", "x"), ["image_id", "y", "x"], "left_semi")
 
 
 _BASIS = "bs AS (SELECT CAST(u AS INTEGER) AS u, CAST(n AS INTEGER) AS n, CASE WHEN u = 0 THEN sqrt(0.125::DOUBLE) ELSE 0.5::DOUBLE END * cos(pi() * (2 * n + 1) * u / 16) AS w FROM range(0, 8) a(u), range(0, 8) b(n))"
@@ -167,9 +167,21 @@ def best_mode(spark, d):
 # --- resampling -------------------------------------------------------------------------------------------------------
 
 
-@query("blk8_subsample", f"WITH {PX}, s AS (SELECT image_id, max(x) + 1 AS w, max(y) + 1 AS h FROM px WHERE y < 15 AND x < 15 GROUP BY 1), p AS (SELECT px.*, CASE WHEN x = w - 1 AND w % 2 = 1 THEN 2 ELSE 1 END * CASE WHEN y = h - 1 AND h % 2 = 1 THEN 2 ELSE 1 END AS n FROM px JOIN s USING (image_id) WHERE y < 15 AND x < 15) SELECT image_id, y // 2 AS y, x // 2 AS x, CAST((sum(g * n) + 2) // 4 AS INTEGER) AS g FROM p GROUP BY ALL")
+#: All images as whole rectangles, a partial one filled up with 0.
+_WHOLE = f"""{PX}, pl AS (SELECT image_id, max(x) AS mx, max(y) AS my FROM px GROUP BY 1),
+q AS (SELECT pl.image_id, CAST(yy AS INTEGER) AS y, CAST(xx AS INTEGER) AS x, coalesce(px.g, 0) AS v FROM pl CROSS JOIN range(0, 16) a(yy) CROSS JOIN range(0, 16) b(xx) LEFT JOIN px ON px.image_id = pl.image_id AND px.y = yy AND px.x = xx WHERE yy <= my AND xx <= mx)"""
+
+
+def _whole(spark, d) -> DataFrame:
+    return B.completed(pixels(spark, d).select("image_id", "y", "x", F.col("g").alias("v")))
+
+
+@query("blk8_subsample", f"WITH {_WHOLE}, o AS (SELECT * FROM q UNION ALL SELECT -1 - image_id, y, x, v FROM q WHERE y < 15 AND x < 15), s AS (SELECT image_id, max(x) + 1 AS w, max(y) + 1 AS h FROM o GROUP BY 1), p AS (SELECT o.*, CASE WHEN x = w - 1 AND w % 2 = 1 THEN 2 ELSE 1 END * CASE WHEN y = h - 1 AND h % 2 = 1 THEN 2 ELSE 1 END AS n FROM o JOIN s USING (image_id)) SELECT image_id, y // 2 AS y, x // 2 AS x, CAST((sum(v * n) + 2) // 4 AS INTEGER) AS v FROM p GROUP BY ALL")
 def subsample(spark, d):
-    return B.halve(pixels(spark, d).where("y < 15 AND x < 15"), "g")
+    """Whole images, and each without its last row and column, under a negative id, for odd sizes."""
+    px = _whole(spark, d)
+    odd = px.where("y < 15 AND x < 15").withColumn("image_id", -1 - F.col("image_id"))
+    return B.halve(px.unionByName(odd))
 
 
 def _bilinear_sql(w2: str, h2: str) -> str:
@@ -180,12 +192,7 @@ def _bilinear_sql(w2: str, h2: str) -> str:
     JOIN q a ON a.image_id = k.image_id AND a.y = y0 AND a.x = x0 JOIN q b ON b.image_id = k.image_id AND b.y = y0 AND b.x = x1 JOIN q c ON c.image_id = k.image_id AND c.y = y1 AND c.x = x0 JOIN q e ON e.image_id = k.image_id AND e.y = y1 AND e.x = x1"""
 
 
-_HALF = f"{PX}, q AS (SELECT image_id, y, x, g AS v FROM px WHERE image_id < (SELECT max(image_id) FROM px)), s AS (SELECT image_id, CAST(max(x) + 1 AS DOUBLE) AS w, CAST(max(y) + 1 AS DOUBLE) AS h FROM q GROUP BY 1)"
-
-
-def _whole(spark, d) -> DataFrame:
-    px = pixels(spark, d)
-    return px.join(px.agg(F.max("image_id").alias("last")), F.col("image_id") < F.col("last")).select("image_id", "y", "x", F.col("g").alias("v"))
+_HALF = f"{_WHOLE}, s AS (SELECT image_id, CAST(max(x) + 1 AS DOUBLE) AS w, CAST(max(y) + 1 AS DOUBLE) AS h FROM q GROUP BY 1)"
 
 
 def _sizes(px: DataFrame, w: int, h: int) -> DataFrame:

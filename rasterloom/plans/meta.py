@@ -150,6 +150,16 @@ def typed_value(spark, d):
     return _keys(spark, d).select("event_id", M.typed_value(F.col("key"), F.col("value")).alias("t")).select("event_id", "t.*")
 
 
-@query("snk5_metadata_json", f"""WITH {_EN}, f AS (SELECT image_id, ns, tag, min(ord) AS ord, arg_min(value, ord) AS value FROM en GROUP BY ALL), n AS (SELECT image_id, ns, '"' || {_NS} || '":{{' || string_agg('"' || printf('0x%04X', tag) || '":"' || replace(replace(value, '\\', '\\\\'), '"', '\\"') || '"', ',' ORDER BY ord) || '}}' AS j FROM f GROUP BY image_id, ns) SELECT image_id, '{{' || string_agg(j, ',' ORDER BY ns) || '}}' AS json FROM n GROUP BY image_id""")
+_TYPED = """ty AS (SELECT event_id // 16 AS image_id, event_id % 16 AS ord, 1 + user_id % 12 AS ns, 1 + (event_id + user_id) % 5 AS tag, event_id % 6 AS k, event_id AS i, event_type AS w FROM events),
+vs AS (SELECT image_id, ord, ns, tag, CASE k WHEN 0 THEN CAST(i AS VARCHAR) WHEN 1 THEN printf('%.10g', i / 8.0::DOUBLE) WHEN 2 THEN '{"numerator":' || i || ',"denominator":3}' WHEN 3 THEN CASE WHEN i % 4 = 1 THEN '{"fr":"' ELSE '{"default":"' END || w || ' \\"' || i || '"}'
+  WHEN 4 THEN '"' || w || '\\n\\\\' || i || '"' ELSE '"' || strftime(make_timestamp(i * 1000000), '%Y-%m-%dT%H:%M:%SZ') || '"' END AS v FROM ty)"""
+
+
+@query("snk5_metadata_json", f"""WITH {_TYPED}, n AS (SELECT image_id, ns, '  "' || {_NS} || '": {{' || chr(10) || string_agg('    "' || printf('0x%04X', tag) || '": ' || v, ',' || chr(10) ORDER BY ord) || chr(10) || '  }}' AS j FROM vs GROUP BY image_id, ns) SELECT image_id, '{{' || chr(10) || string_agg(j, ',' || chr(10) ORDER BY ns) || chr(10) || '}}' || chr(10) AS json FROM n GROUP BY image_id""")
 def metadata_json(spark, d):
-    return M.to_json(_entries(spark, d))
+    """Entries of six types in turn."""
+    i, k, w = F.col("event_id"), F.col("event_id") % 6, F.col("event_type")
+    text = F.when(k == 0, i.cast("string")).when(k == 1, (i / 8.0).cast("string")).when(k == 2, F.concat(i.cast("string"), F.lit("/3"))).when(k == 3, F.concat(w, F.lit(' "'), i.cast("string"))).when(k == 4, F.concat(w, F.lit("\n\\"), i.cast("string"))).otherwise((i * 1_000_000).cast("string"))
+    type_id = F.element_at(F.array(*[F.lit(t) for t in (3, 7, 8, 9, 10, 14)]), (k + 1).cast("int"))
+    e = _entries(spark, d).join(table(spark, d, "events").select(F.floor(i / 16).cast("bigint").alias("image_id"), (i % 16).cast("int").alias("ord"), type_id.alias("t"), text.alias("v"), F.when(i % 4 == 1, "fr").alias("l")), ["image_id", "ord"])
+    return M.to_json(e.select("image_id", "ord", "ns", "tag", F.col("t").alias("type_id"), F.col("v").alias("value"), F.col("l").alias("lang")))

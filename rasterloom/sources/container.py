@@ -1,14 +1,22 @@
-"""The container as a data source: spark.read.format("rasterchunks").option("table", ...).load(path).
+"""The container as a table, in two ways.
 
-Tables: chunks, tiles, frames, meta. Files are listed once, by the driver, through Spark's own file access, so any store
-that Spark reads will do; each task reads its files the same way. mode PERMISSIVE (the default) gives a row with an
-error code for a bad file, FAILFAST fails. Filters on type, tile_x, tile_y, ns and tag are applied before payloads are
-copied; the frames table decodes no tile.
+read(spark, path, table): by Spark's own binary files, so any store that Spark reads will do.
+
+spark.read.format("rasterchunks").option("table", ...).load(path): a data source with filter pushdown. Its readers and
+writers run outside of the JVM, so they go by pyarrow's file systems: local paths, file://, hdfs://, s3://, gs://; all
+machines must see the path. Files are listed once, by the driver. Filters on type, tile_x, tile_y, ns and tag are
+applied before payloads are copied; the frames table decodes no tile.
+
+Tables: chunks, tiles, frames, meta. mode PERMISSIVE (the default) gives a row with an error code for a bad file,
+FAILFAST fails. A file that is written is named by the whole image_id, escaped, so no two images share one; rows come
+by image, and each image is written, whole or not at all, when its rows end.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pandas as pd
 import pyarrow as pa
@@ -86,6 +94,25 @@ def built(chunks: DataFrame) -> DataFrame:
     return files.select("image_id", join("chunks").alias("content"))
 
 
+def read(spark: SparkSession, path: str, table: str = "chunks", permissive: bool = True) -> DataFrame:
+    """A table of all files below a path, in any store that Spark reads."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*.{SUFFIX}").load(path)
+    return parsed(files, table, permissive)
+
+
+def store(path: str):
+    """A path's file system, and the path within it."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+
+
+def file_name(image_id: str) -> str:
+    """The escaped id; one too long for a file's name is cut and told apart by its hash."""
+    name = quote(image_id, safe="").replace(".", "%2E")
+    return name if len(name) <= 180 else f"{name[:100]}-{hashlib.sha256(image_id.encode()).hexdigest()}"
+
+
 class Files(InputPartition):
     def __init__(self, paths: list[str]):
         self.paths = paths
@@ -94,7 +121,7 @@ class Files(InputPartition):
 class ChunkReader(DataSourceReader):
     def __init__(self, options: dict):
         self.table, self.path = options.get("table", "chunks"), options["path"]
-        self.fast, self.each = options.get("mode", "PERMISSIVE").upper() == "FAILFAST", int(options.get("filesperpartition", "16"))
+        self.fast, self.most = options.get("mode", "PERMISSIVE").upper() == "FAILFAST", int(options.get("bytesperpartition", str(64 << 20)))
         self.wanted: dict = {}
 
     def pushFilters(self, filters: list[Filter]):
@@ -104,17 +131,26 @@ class ChunkReader(DataSourceReader):
             yield f  # rows of bad files keep their nulls, so Spark filters as well
 
     def partitions(self) -> list[Files]:
-        from pathlib import Path
-
-        top = Path(self.path.removeprefix("file://"))
-        found = sorted(str(p) for p in (top.rglob(f"*.{SUFFIX}") if top.is_dir() else [top]))
-        return [Files(found[i : i + self.each]) for i in range(0, len(found), self.each)] or [Files([])]
+        """Files by about so many bytes together."""
+        from pyarrow import fs
+
+        files, top = store(self.path)
+        info = files.get_file_info(top)
+        found = [info] if info.type == fs.FileType.File else files.get_file_info(fs.FileSelector(top, recursive=True, allow_not_found=True))
+        out, size = [[]], 0
+        for f in sorted((f for f in found if f.type == fs.FileType.File and f.path.endswith(f".{SUFFIX}")), key=lambda f: f.path):
+            if out[-1] and size + f.size > self.most:
+                out, size = [*out, []], 0
+            out[-1].append(f.path)
+            size += f.size
+        return [Files(paths) for paths in out]
 
     def read(self, partition: Files) -> Iterator[tuple]:
         width = len(TABLES[self.table].split(", "))
+        files, _ = store(self.path)
         for path in partition.paths:
             try:
-                with open(path, "rb") as f:
+                with files.open_input_stream(path) as f:
                     data = f.read()
                 yield from [(*r, None) for r in rows(self.table, path, data, self.wanted)]
             except CodecError as e:
@@ -129,26 +165,32 @@ class Written(WriterCommitMessage):
 
 
 class ChunkWriter(DataSourceArrowWriter):
-    """One file for each image of a task; rows come by image and seq (see write())."""
+    """One file for each image of a task; rows come by image and seq (see write()), so one image is held at a time."""
 
     def __init__(self, options: dict):
-        self.path = options["path"].removeprefix("file://")
+        self.path = options["path"]
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
-        from pathlib import Path
+        files, top = store(self.path)
+        files.create_dir(top, recursive=True)
+        out, image_id, held = [], None, []
+
+        def end() -> None:
+            if not held:
+                return
+            to = f"{top.rstrip('/')}/{file_name(image_id)}.{SUFFIX}"
+            with files.open_output_stream(f"{to}.part") as f:
+                f.write(write_chunks([c[1:] for c in sorted(held, key=lambda c: c[0])]))
+            files.move(f"{to}.part", to)
+            out.append(to)
 
-        held: dict[str, list] = {}
         for b in batches:
             for r in b.to_pylist():
-                held.setdefault(r["image_id"], []).append((r["seq"], r["type"], r["flags"], r["payload"]))
-        out = []
-        Path(self.path).mkdir(parents=True, exist_ok=True)
-        for image_id, cs in held.items():
-            to = Path(self.path) / f"{Path(image_id).stem}.{SUFFIX}"
-            part = to.with_suffix(".part")
-            part.write_bytes(write_chunks([c[1:] for c in sorted(cs)]))
-            part.rename(to)  # whole or not at all
-            out.append(str(to))
+                if r["image_id"] != image_id:
+                    end()
+                    image_id, held = r["image_id"], []
+                held.append((r["seq"], r["type"], r["flags"], r["payload"]))
+        end()
         return Written(out)
 
 
