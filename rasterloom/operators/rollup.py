@@ -12,11 +12,14 @@ MEANS = {"psnr": 4, "ssim": 6, "chroma_psnr": 4, "weighted_chroma_mae": 4, "sour
 
 
 def exact_mean(name: str, places: int) -> Column:
-    """The mean of a column, rounded half to even. Values are added as decimals of 12 places, which is exact in any order
-    and needs no group in memory."""
-    total = F.sum(F.col(name).cast("decimal(30,12)"))
-    mean = total.cast("double") / F.count(name)
-    return F.rint(mean * 10**places) / 10**places
+    """The mean of a column, rounded half to even. A double is cut into two whole numbers, of 2^-40 and of 2^-80, whose
+    sums are exact in any order and need no group in memory; one rounding makes the sum a double again."""
+    scaled = F.col(name) * float(1 << 40)
+    high = F.floor(scaled)
+    low = ((scaled - high) * float(1 << 40)).cast("bigint")
+    whole = lambda c: F.sum(c.cast("decimal(20,0)")).cast("double")
+    mean = (whole(high) + whole(low) / float(1 << 40)) / float(1 << 40) / F.count(name)
+    return F.rint(mean * float(10**places)) / float(10**places)
 
 
 def rollup(rows: DataFrame, places: dict[str, int] = MEANS) -> DataFrame:

@@ -306,8 +306,9 @@ query("compare_images")(flagship)
 _ROWS = """rw AS (SELECT lower(p_brand) AS scene_group, CASE WHEN p_size < 15 THEN 'dark' WHEN p_size > 35 THEN 'bright' ELSE 'balanced' END AS lighting_bucket, p_partkey AS k,
   CAST(p_size * 100 AS BIGINT) AS bytes, round(p_retailprice / 50, 4) AS psnr, round(p_size / 51.0::DOUBLE, 6) AS ssim, round(p_retailprice / 45, 4) AS chroma_psnr, round(p_size / 70.0::DOUBLE, 4) AS weighted_chroma_mae, round(p_size / 60.0::DOUBLE, 4) AS source_mean_luma FROM part)"""
 def _mean_sql(name: str, places: int) -> str:
-    total = f"CAST(sum(CAST({name} AS DECIMAL(30, 12))) AS DOUBLE)"
-    return f"round_even({total} / count({name}) * 1e{places}, 0) / 1e{places} AS avg_{name}"
+    scaled = f"({name} * {float(1 << 40)}::DOUBLE)"
+    high, low = (f"CAST(sum(CAST({x} AS BIGINT)) AS DOUBLE)" for x in (f"floor({scaled})", f"trunc(({scaled} - floor({scaled})) * {float(1 << 40)}::DOUBLE)"))
+    return f"round_even(({high} + {low} / {float(1 << 40)}::DOUBLE) / {float(1 << 40)}::DOUBLE / count({name}) * 1e{places}, 0) / 1e{places} AS avg_{name}"
 
 
 _MEANS_SQL = ", ".join(_mean_sql(n, p) for n, p in R.MEANS.items())

@@ -112,7 +112,7 @@ def test_metadata(spark):
     got = [(r["ord"], r["ns"], r["value"]) for r in meta.upsert(e, c).orderBy("ord").collect()]
     assert got == [(0, 5, "New"), (1, 5, "Hello"), (2, 2, "1.5"), (3, 3, "no time"), (4, 2, "99"), (5, 9, "4")]
     assert meta.remove(e, 5, 1).count() == 3
-    assert meta.to_json(e).first()["json"].startswith('{"geo":{"0x0001":"1.5"')
+    assert meta.to_json(e).first()["json"].startswith('{\n  "geo": {\n    "0x0001": 1.5,\n')
 
 
 def test_text(spark):

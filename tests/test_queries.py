@@ -2,6 +2,7 @@
 
 import math
 import os
+import re
 
 import pytest
 
@@ -9,8 +10,7 @@ import __spark_entry__ as entry
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SLOW = {"ent18_syntax_selection", "top1_best_mode", "blk6_predict"}
-NAMES = [n for n in sorted(entry.oracle_sql()) if not n.startswith("op") and n not in SLOW]
+NAMES = [n for n in sorted(entry.oracle_sql()) if not re.match(r"op\d|pipeline", n)]
 
 
 def test_registered():
@@ -24,7 +24,7 @@ def plain(v):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
-@pytest.mark.parametrize("name", NAMES[::4])
+@pytest.mark.parametrize("name", NAMES)
 def test_against_sql(spark, name):
     import duckdb
 
