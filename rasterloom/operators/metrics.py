@@ -128,14 +128,54 @@ def plane_metrics(pair: DataFrame, top: float = 255.0) -> DataFrame:
     return out.select("image_id", "channel", "mae", "mse", psnr(F.col("mse"), top).alias("psnr"), "ssim")
 
 
+def _sums(a: Column, c: Column, name: str) -> list[Column]:
+    """A window's sums of a channel, under names of their own."""
+    return [F.sum(x).alias(f"{name}_{k}") for k, x in (("sa", a), ("sc", c), ("saa", a * a), ("scc", c * c), ("sac", a * c), ("abs", F.abs(a - c)), ("sq", (a - c) * (a - c)))]
+
+
+def _of_image(name: str, top: float) -> Column:
+    """A channel's figures from the sums of its windows."""
+    window = ssim(F.col("n"), *[F.col(f"{name}_{k}") for k in ("sa", "sc", "saa", "scc", "sac")], top=top)
+    mse = F.sum(f"{name}_sq") / F.sum("n")
+    return F.struct((F.sum(f"{name}_abs") / F.sum("n")).alias("mae"), mse.alias("mse"), psnr(mse, top).alias("psnr"), F.avg(window).alias("ssim"))
+
+
 def compare(reference: DataFrame, candidate: DataFrame, top: float = 255.0) -> DataFrame:
-    """All metrics of an image in one row; images that can't be compared are missing (see mismatches)."""
+    """All metrics of an image in one row; images that can't be compared, as some place has one side only, are missing
+    (see mismatches). The sides meet once, and one group-by over windows holds the sums of all channels, planes,
+    artifacts and statistics."""
     names = tuple(c for c in ("r", "g", "b", "a") if c in reference.columns and c in candidate.columns)
-    bad = mismatches(reference, candidate).select("image_id")
-    pair = paired(reference.join(bad, "image_id", "left_anti"), candidate, names)
-    per = channels(samples(pair, names), top)
-    rgb = per.groupBy("image_id").agg(F.map_from_entries(F.collect_list(F.struct("channel", F.struct("mae", "mse", "psnr", "ssim")))).alias("channels"))
-    ycc = plane_metrics(pair, top).groupBy("image_id").agg(F.map_from_entries(F.collect_list(F.struct("channel", F.struct("mae", "mse", "psnr", "ssim")))).alias("ycbcr"))
-    stats = lambda df, name: statistics(df, top).select("image_id", F.struct("mean_luma", "luma_stddev", "mean_chroma", "dark_fraction", "bright_fraction").alias(name))
-    out = overall(per, top).join(rgb, "image_id").join(ycc, "image_id").join(artifacts(pair, top, names), "image_id")
-    return out.join(stats(reference, "reference_stats"), "image_id").join(stats(candidate, "candidate_stats"), "image_id").withColumn("compared_channels", F.lit(len(names)))
+    wide = lambda c: F.col(c).cast("bigint")
+    sides = [df.select(*PLACE, *[F.col(c).alias(f"{c}{n}") for c in names]) for df, n in ((reference, ""), (candidate, "2"))]
+    whole = F.col(names[0]).isNotNull() & F.col(f"{names[0]}2").isNotNull()
+    p = neighbours(planes(sides[0].join(sides[1], PLACE, "full"), top), "yy").withColumn("whole", whole)
+    edge = 1 + 3 * clamp(edge_strength("yy") / top, 0, 1)
+    radius = F.hypot(F.col("cb") - top / 2, F.col("cr") - top / 2) / top
+    p = p.withColumn("we", edge).withColumn("wc", F.col("we") * (1 + 1.75 * clamp(radius, 0, 1)))
+    d_y, d_cb, d_cr = (F.abs(F.col(c) - F.col(f"{c}2")) for c in ("yy", "cb", "cr"))
+    p = p.withColumns({"chroma": 0.5 * (d_cb + d_cr), "chroma_sq": 0.5 * (d_cb * d_cb + d_cr * d_cr), "d_y": d_y})
+    for n in ("", "2"):
+        far = clamp(F.hypot(F.col(f"cb{n}") - top / 2, F.col(f"cr{n}") - top / 2) / F.lit(top * 0.5**0.5), 0, 1)
+        p = p.withColumns({f"luma{n}": F.col(f"yy{n}") / top, f"far{n}": far})
+    stats = [x for n in ("", "2") for x in (F.sum(f"luma{n}").alias(f"l{n}"), F.sum(F.col(f"luma{n}") * F.col(f"luma{n}")).alias(f"ll{n}"), F.sum(f"far{n}").alias(f"f{n}"), F.count_if(F.col(f"luma{n}") <= 0.25).alias(f"dark{n}"), F.count_if(F.col(f"luma{n}") >= 0.75).alias(f"bright{n}"))]
+    weighted = [F.sum(F.col("d_y") * F.col("we")).alias("dw"), F.sum("we").alias("we"), F.sum(F.col("chroma") * F.col("wc")).alias("cw"), F.sum("wc").alias("wc"), F.sum("chroma").alias("chroma"), F.sum("chroma_sq").alias("chroma_sq")]
+    most = F.max(F.greatest(*[F.abs(wide(c) - wide(f"{c}2")) for c in names])).alias("most")
+    channels_ = [x for c in names for x in _sums(wide(c), wide(f"{c}2"), c)] + [x for c in ("yy", "cb", "cr") for x in _sums(F.col(c), F.col(f"{c}2"), c)]
+    w = p.groupBy("image_id", F.floor(F.col("y") / 8).alias("wy"), F.floor(F.col("x") / 8).alias("wx")).agg(F.count("*").alias("n"), F.min("whole").alias("whole"), most, *channels_, *weighted, *stats)
+    per = lambda c: F.sum(c) / F.sum("n")
+
+    def statistics_of(n: str) -> Column:
+        luma = per(f"l{n}")
+        variance = F.greatest(F.lit(0.0), per(f"ll{n}") - luma * luma)
+        return F.struct(luma.alias("mean_luma"), F.sqrt(variance).alias("luma_stddev"), per(f"f{n}").alias("mean_chroma"), per(f"dark{n}").alias("dark_fraction"), per(f"bright{n}").alias("bright_fraction"))
+
+    map_of = lambda labels: F.create_map(*[x for label, c in labels for x in (F.lit(label), _of_image(c, top))])
+    out = w.groupBy("image_id").agg(
+        F.min("whole").alias("whole"), map_of([(c.upper(), c) for c in names]).alias("channels"), map_of([("Y", "yy"), ("Cb", "cb"), ("Cr", "cr")]).alias("ycbcr"),
+        (F.sum("dw") / F.sum("we")).alias("weighted_luma_mae"), (F.sum("cw") / F.sum("wc")).alias("weighted_chroma_mae"), per("chroma").alias("chroma_mae"), per("chroma_sq").alias("chroma_mse"),
+        F.max("most").cast("double").alias("max_abs_error"), statistics_of("").alias("reference_stats"), statistics_of("2").alias("candidate_stats"),
+    ).where("whole").drop("whole")
+    mean = lambda k: sum((F.col("channels")[c.upper()][k] for c in names[1:]), F.col("channels")[names[0].upper()][k]) / len(names)
+    out = out.withColumns({"mae": mean("mae"), "mse": mean("mse"), "ssim": mean("ssim"), "chroma_psnr": psnr(F.col("chroma_mse"), top), "compared_channels": F.lit(len(names))})
+    order = ["image_id", "mae", "mse", "psnr", "ssim", "channels", "ycbcr", "weighted_luma_mae", "weighted_chroma_mae", "chroma_mae", "chroma_mse", "max_abs_error", "chroma_psnr", "reference_stats", "candidate_stats", "compared_channels"]
+    return out.withColumn("psnr", psnr(F.col("mse"), top)).select(*order)
