@@ -60,13 +60,15 @@ def _smooth(spark, d) -> DataFrame:
 
 @query("blk11_lossy_encode", f"WITH {PX} SELECT DISTINCT image_id, TRUE AS more_bytes, TRUE AS psnr, TRUE AS ssim, TRUE AS no_worse FROM px")
 def lossy_encode(spark, d):
-    """Gradients at qualities 75 and 85: the higher takes more bytes, and both come back as near as is asked of them."""
-    px = _smooth(spark, d)
-    files = {q: C.encode(px, Config(quality=q, subsampling="444")) for q in (75, 85)}
+    """Gradients at a low and a high quality: the higher takes more bytes, and both come back as near as is asked of them.
+    (Qualities next to each other don't differ enough on images of this size.)"""
+    px, low, high = _smooth(spark, d), 50, 95
+    files = {q: C.encode(px, Config(quality=q, subsampling="444")) for q in (low, high)}
     got = {q: M.overall(M.channels(M.samples(M.paired(px, C.decode(f).select("image_id", "y", "x", "r", "g", "b"))))).select("image_id", F.col("psnr").alias(f"p{q}"), F.col("ssim").alias(f"s{q}")) for q, f in files.items()}
     size = {q: f.select("image_id", F.octet_length("content").alias(f"n{q}")) for q, f in files.items()}
-    t = got[75].join(got[85], "image_id").join(size[75], "image_id").join(size[85], "image_id")
-    return t.select("image_id", (F.col("n85") >= F.col("n75")).alias("more_bytes"), (F.col("p75") > 40).alias("psnr"), (F.col("s75") > 0.98).alias("ssim"), ((F.col("p85") >= F.col("p75") - 0.6) & (F.col("s85") >= F.col("s75") - 0.003)).alias("no_worse"))
+    t = got[low].join(got[high], "image_id").join(size[low], "image_id").join(size[high], "image_id")
+    c = lambda k, q: F.col(f"{k}{q}")
+    return t.select("image_id", (c("n", high) > c("n", low)).alias("more_bytes"), ((c("p", low) > 36) & (c("p", high) > 42)).alias("psnr"), ((c("s", low) > 0.95) & (c("s", high) > 0.98)).alias("ssim"), ((c("p", high) >= c("p", low)) & (c("s", high) >= c("s", low))).alias("no_worse"))
 
 
 @query("blk12_lossy_decode", f"WITH {PX} SELECT image_id, count(*) AS n, TRUE AS psnr, TRUE AS ssim FROM px GROUP BY image_id")

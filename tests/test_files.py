@@ -166,3 +166,24 @@ def test_sql_surface(spark):
     assert [r["type"] for r in spark.sql("SELECT c.type FROM one_file, LATERAL parse_container(content) c").collect()] == ["FHDR", "META", "TILE", "FEND"]
     assert spark.sql("SELECT m.value FROM one_file, LATERAL parse_meta(block) m").first()[0] == "title"
     assert spark.sql("SELECT count(*) FROM one_file, LATERAL exif(content)").first()[0] == 0
+
+
+def test_streams(spark, tmp_path):
+    """Files as they arrive, and errors by windows of time."""
+    from rasterloom import streaming
+
+    folder = f"file://{tmp_path}/in"
+    SF.write_files(spark.createDataFrame([(f"{i}.wk", write(Header(8 + i, 8), [Tile(0, 0, 1, b"x")])) for i in range(3)] + [("bad.wk", b"no")], "path string, content binary"), folder)
+
+    def all_of(df, mode="append"):
+        name = f"t{random.randrange(10**9)}"
+        df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+        return spark.table(name).collect()
+
+    got = all_of(streaming.incoming(spark, folder, "frames"))
+    assert sorted(r["width"] or 0 for r in got) == [0, 8, 9, 10] and {r["_error_code"] for r in got} == {None, "InvalidMagic"}
+    rows = [("2024-01-01 00:01:00", 1.0, 2.0), ("2024-01-01 00:04:00", 5.0, 2.0), ("2024-01-01 00:06:00", 0.0, 0.0)]
+    spark.createDataFrame(rows, "ts string, a double, c double").write.json(f"{tmp_path}/pairs")
+    pairs = spark.readStream.schema("ts timestamp, a double, c double").json(f"{tmp_path}/pairs")
+    out = all_of(streaming.windowed_errors(pairs), "complete")
+    assert sorted((r["n"], r["mae"], r["mse"]) for r in out) == [(1, 0.0, 0.0), (2, 2.0, 5.0)]
