@@ -26,8 +26,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-MATCH = "item_id long, edits int, n_regions int, region_start long, region_end long"
+MATCH = "edits int, n_regions int, region_start long, region_end long"
 
 
 def normalised(text: str | None) -> str:
@@ -125,41 +127,50 @@ class Index:
         item, band = np.divmod(key, np.int64(len(x) + int(self.length.max()) + 2))
         kept = votes >= self.bound[item]
         item, band = item[kept], band[kept]
-        best: dict[tuple[int, int], list[int]] = {}
+        hits: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
         cuts = np.flatnonzero(np.diff(item)) + 1
         for lo, hi in zip([0, *cuts], [*cuts, len(item)], strict=True) if len(item) else ():
             j = int(item[lo])
             for a in range(lo, hi, 4096):
-                self._verify(j, band[a : min(hi, a + 4096)], x, begins, best)
-        for (t, j), (edits, regions, start, end) in best.items():
-            yield t, self.items[j][0], edits, regions, start, end
-
-    def _verify(self, j: int, band: np.ndarray, x: np.ndarray, begins: np.ndarray, best: dict) -> None:
-        """Aligns item j with the bands' regions: the item whole, the region's ends free."""
+                self._verify(j, band[a : min(hi, a + 4096)], x, begins, hits)
+        for (t, j), found in hits.items():
+            regions = _regions(found, len(self.items[j][1]))
+            edits, start, end = min(regions)
+            yield t, self.items[j][0], edits, len(regions), start, end
+
+    def _verify(self, j: int, band: np.ndarray, x: np.ndarray, begins: np.ndarray, hits: dict) -> None:
+        """Aligns item j with the bands' regions: the item whole, the region's ends free. A cell holds its edits and,
+        in its lower half, the diagonal on which its alignment began."""
         y, k = self.items[j][1], int(self.k[j])
         low = band * (k + 1) - int(self.length.max()) - k  # the band's first diagonal, with room for k on both sides
         width = 4 * k + 3
-        steps = np.arange(width)
+        steps, one = np.arange(width), np.int64(1) << np.int64(32)
         reach = low[:, None] + np.arange(len(y) + width)
         window = np.where((reach >= 0) & (reach < len(x)), x[np.clip(reach, 0, len(x) - 1)], 0)
-        d = np.zeros((len(band), width), dtype=np.int32)
+        d = np.broadcast_to(steps.astype(np.int64), (len(band), width))
+        edge = np.full((len(band), 1), one * len(y))
         for i in range(len(y)):
-            up = np.concatenate([d[:, 1:], np.full((len(band), 1), len(y), np.int32)], axis=1) + 1
-            d = np.minimum(d + (window[:, i : i + width] != y[i]), up)
-            d = np.minimum.accumulate(d - steps, axis=1) + steps
-            d = d.astype(np.int32)
-        end, edits = d.argmin(axis=1), d.min(axis=1)
+            up = np.concatenate([d[:, 1:], edge], axis=1) + one
+            d = np.minimum(d + (window[:, i : i + width] != y[i]) * one, up)
+            d = np.minimum.accumulate(d - steps * one, axis=1) + steps * one
+        end, least = d.argmin(axis=1), d.min(axis=1)
+        edits, begin = least >> np.int64(32), least & (one - 1)
         for r in np.flatnonzero(edits <= k):
             stop = int(low[r] + len(y) + end[r])  # behind the last character that takes part
             t = int(np.searchsorted(begins, max(stop - 1, 0), side="right")) - 1
-            stop -= int(begins[t])
-            was = best.get((t, j))
-            now = [int(edits[r]), 1, max(0, stop - len(y)), stop]
-            if was is None:
-                best[t, j] = now
-            else:  # overlapping bands see a copy twice; copies further apart than a budget are regions of their own
-                regions = was[1] + (abs(stop - was[3]) > k + len(y) // 2)
-                best[t, j] = [*min(was, now)[:1], regions, *min(was, now)[2:]]
+            hits.setdefault((t, j), []).append((int(edits[r]), int(low[r] + begin[r] - begins[t]), stop - int(begins[t])))
+
+
+def _regions(found: list[tuple[int, int, int]], length: int) -> list[tuple[int, int, int]]:
+    """Alignments (edits, start, end) of an item -> the best of each region: those that overlap by more than half of the
+    item are one, as overlapping bands see a copy twice."""
+    out: list[tuple[int, int, int]] = []
+    for hit in sorted(set(found), key=lambda h: (h[2], h[1])):
+        if out and out[-1][2] - hit[1] > length // 2:
+            out[-1] = min(out[-1], hit)
+        else:
+            out.append(hit)
+    return out
 
 
 def _batches(texts: Iterable[str | None], at_once: int) -> Iterator[tuple[list[int], list[str]]]:
@@ -177,9 +188,8 @@ def _batches(texts: Iterable[str | None], at_once: int) -> Iterator[tuple[list[i
         yield rows, held
 
 
-def _search(index, at_once: int):
-    types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
-    names = ["doc_id", "item_id", "edits", "n_regions", "region_start", "region_end"]
+def _search(index, at_once: int, schema: StructType):
+    types = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -187,14 +197,15 @@ def _search(index, at_once: int):
             out = [(rows[t], *match) for rows, held in _batches(texts, at_once) for t, *match in index.value.matches(held)]
             if out:
                 row, *cols = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), *[pa.array(c, t) for c, t in zip(cols, types, strict=True)]], names)
+                found = [pa.array(c, f.type) for c, f in zip(cols, list(types)[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), *found], types.names)
 
     return run
 
 
 def _indexes(benchmark: DataFrame, q: int, rate: float, block_chars: int, item_col: str, text_col: str) -> Iterator:
     """The blocks of items, each as a broadcast index."""
-    items = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(text_col).alias("t")).where(F.length("t") > 0)
+    items = benchmark.select(F.col(item_col).alias("i"), F.col(text_col).alias("t")).where(F.length("t") > 0)
     chars = items.agg(F.sum(F.length("t"))).first()[0] or 0
     n = max(1, -(-chars // block_chars))
     for k in range(n):
@@ -203,11 +214,12 @@ def _indexes(benchmark: DataFrame, q: int, rate: float, block_chars: int, item_c
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, q: int = 8, rate: float = 0.1, block_chars: int = 4_000_000, at_once: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """One row for each document and item found in it: id_col, item_id, its least edits, the number of regions, and
-    the region of least edits in characters of the normalised text."""
+    """One row for each document and item found in it: id_col, item_id (of its own type), its least edits, the number of
+    regions (alignments that overlap by more than half of the item are one), and the region of least edits, the first
+    of them, in characters of the normalised text."""
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, {MATCH}"
-    found = [narrow.mapInArrow(_search(index, at_once), schema) for index in _indexes(benchmark, q, rate, block_chars, item_col, item_text_col)]
+    schema = StructType.fromDDL(f"doc_id {docs.schema[id_col].dataType.simpleString()}, item_id {benchmark.schema[item_col].dataType.simpleString()}, {MATCH}")
+    found = [narrow.mapInArrow(_search(index, at_once, schema), schema) for index in _indexes(benchmark, q, rate, block_chars, item_col, item_text_col)]
     return reduce(DataFrame.union, found).withColumnRenamed("doc_id", id_col)
 
 
