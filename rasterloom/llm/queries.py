@@ -61,4 +61,4 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_decontamination, op2_token_counts, op3_line_dedup, op4_simhash, op5_mixing, op6_knn, op7_katz, op8_chat, op9_toxicity, op10_licenses)}
 
-ORACLE: dict[str, str] = {"op6_knn": knn.ORACLE, "op8_chat": chat.ORACLE}
+ORACLE: dict[str, str] = {"op6_knn": knn.ORACLE, "op8_chat": chat.ORACLE, "op10_licenses": licenses.ORACLE}
