@@ -5,9 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: A word: a run of anything but the six ASCII white-space characters.
@@ -31,13 +30,16 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """df, computed once and read back from the shared folder: a cut in the lineage that outlives any executor."""
+def saved(df: DataFrame, name: str, **more: Column) -> DataFrame:
+    """df, computed once and read back from the shared folder: a cut in the lineage that outlives any executor. Its
+    `observed` has the number of rows, and what more is asked for, without another job."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path, seen = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows"), *[c.alias(k) for k, c in more.items()]).write.parquet(path)
     _saved.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.observed = seen.get
+    return out
 
 
 def marked() -> int:
@@ -45,20 +47,19 @@ def marked() -> int:
     return len(_saved)
 
 
-def release(spark: SparkSession, since: int, keep: Iterable[DataFrame] = ()) -> None:
-    """Deletes the tables saved since that mark but those that `keep` reads. Only for what no later read needs."""
-    needed = [f for df in keep for f in df.inputFiles()]
-    for path in _saved[since:]:
-        if not any(f"/{path.rpartition('/')[2]}/" in f for f in needed):
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-            _saved.remove(path)
+def release(spark: SparkSession, since: int) -> None:
+    """Deletes the tables saved since that mark but the last one. Only for what no later read needs."""
+    for path in _saved[since:-1]:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    del _saved[since:-1]
 
 
 def few_rows(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """df, marked for a broadcast if it has at most BROADCAST_ROWS rows, which are counted here unless told."""
+    """df, marked for a broadcast if it has at most BROADCAST_ROWS rows, which are known of a saved table, or told, or
+    counted here."""
     if rows is None:
-        rows = df.limit(BROADCAST_ROWS + 1).count()
+        rows = df.observed["rows"] if hasattr(df, "observed") else df.limit(BROADCAST_ROWS + 1).count()
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 

@@ -36,12 +36,15 @@ def components(edges: DataFrame) -> DataFrame:
     """edges(u, v) of an ordered type -> (node, root), root the least node that can be reached; one row for each
     node of an edge that isn't a root itself. Rounds grow with the logarithm of the number of nodes."""
     e = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct()
-    e, before, since = saved(e, "edges"), None, marked() - 1
+    check = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
+    e, before, since = saved(e, "edges", check=check), None, marked() - 1
     while True:
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        now = e.observed["rows"], e.observed["check"]
         if now == before or not now[0]:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            out = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            out.observed = e.observed
+            return out
         before = now
         few = now[0] <= BROADCAST_LINKS
-        e = saved(_small(_large(e, few), few), "edges")
-        release(edges.sparkSession, since, keep=[e])  # the rounds before it
+        e = saved(_small(_large(e, few), few), "edges", check=check)
+        release(edges.sparkSession, since)  # the rounds before it

@@ -90,7 +90,8 @@ def candidates(texts: DataFrame, limit: int, few: int) -> DataFrame:
     while True:
         rows = _cut(state, limit)
         sizes = rows.groupBy("g").agg(F.count("*").alias("n"), F.count_if("own").alias("indexed")).where("n > 1 AND indexed > 0")
-        met = saved(rows.join(sizes.select("g", "indexed"), "g"), "line-groups")
+        more = F.count_if((F.col("indexed") > few) & (F.col("l") > limit))
+        met = saved(rows.join(sizes.select("g", "indexed"), "g"), "line-groups", more=more)
         small = met.where(F.col("indexed") <= few)
         left = small.where("own").select("g", name.alias("u"))
         pairs = left.join(small.select("g", name.alias("v"), "own"), "g").where("u != v AND (NOT own OR u < v)").select("u", "v")
@@ -99,7 +100,7 @@ def candidates(texts: DataFrame, limit: int, few: int) -> DataFrame:
         end = large.where(F.col("l") <= limit)
         found = found.union(_last(end, limit))
         state = large.where(F.col("l") > limit).drop("indexed")
-        if not state.limit(1).count():
+        if not met.observed["more"]:
             return found
 
 
@@ -212,14 +213,14 @@ def removals(docs: DataFrame, limit: int = 1, min_chars: int = 20, few: int = 4)
     wanted = saved(_meeting(each, list(keys)), "line-wanted")
     # the texts of those lines, from the documents of their first places
     at = few_rows(wanted)
-    places = saved(occ.select("id", "th", "a", "b", "first").join(at, ["a", "b", "first"]).select("id", "th").distinct(), "line-documents").toDF("jid", "jth")
+    places = saved(occ.select("id", "th", "a", "b", "first").join(at, ["a", "b", "first"]).select(F.col("id").alias("jid"), F.col("th").alias("jth")).distinct(), "line-documents")
     held = docs.join(few_rows(places), F.col("id").eqNullSafe(F.col("jid")) & (F.col("th") == F.col("jth")), "left_semi")
     texts = occurrences(held).withColumn("first", _place(docs)).join(at, ["a", "b", "first"]).groupBy("a", "b").agg(F.first("line").alias("line"))
     classes = components(line_links(saved(texts, "line-texts"), limit, few))
     linked = saved(classes.union(classes.select("root", "root")).distinct().select("node.a", "node.b", "root"), "line-classes")
     firsts = each.select("a", "b", "first").join(few_rows(linked), ["a", "b"])
     keepers = firsts.groupBy("root").agg(F.min("first").alias("keep"))
-    alone = each.where("n > 1").select("a", "b", F.col("first").alias("keep")).join(few_rows(linked.select("a", "b")), ["a", "b"], "left_anti")
+    alone = each.where("n > 1").select("a", "b", F.col("first").alias("keep")).join(few_rows(linked.select("a", "b"), linked.observed["rows"]), ["a", "b"], "left_anti")
     lost = saved(firsts.join(keepers, "root").select("a", "b", "keep").union(alone), "line-lost")
     gone = occ.select("id", "th", "line_no", "a", "b", "first").join(few_rows(lost), ["a", "b"]).where("first != keep")
     return gone.groupBy("id", "th").agg(F.sort_array(F.collect_set("line_no")).alias("removed"))
