@@ -4,14 +4,15 @@ Folding: compatibility forms, lower case, accents off, look-alike letters of oth
 signs to letters in words that hold a letter, anything else to one space. Entries are beginnings of words.
 
 The lexicon is learned from labelled rows: at most `fit_toxic` toxic and `fit_clean` clean ones, those of least id
-hash. An entry is a beginning of `least_chars` characters or more that at least `least_rows` toxic rows show, each
-between words of its own (so a much copied text counts once), and clean ones rarely; its weight is the log of the ratio of
+hash. An entry is a beginning of `least_chars` characters or more that at least `least_rows` toxic rows, and a share of
+`least_share` of them, show, each between words of its own (so a much copied text counts once), and clean ones rarely; its weight is the log of the ratio of
 the shares of rows that have it. Exception phrases are an entry's word with the word before or after it, where clean
 rows show that pair and toxic ones don't; a match that is part of one doesn't count. The sum of the weights over the
 text's words is turned into a score by a logistic curve fitted to the same rows.
 
 Defined cases: null and empty texts score as a text without a match; without labels of both kinds the lexicon is
-empty and every score 0; labels that are null don't count, and a row with several counts as toxic if one says so;
+empty and every score 0; labels that are null don't count, and a row with several counts as toxic if one says so; of
+documents that share an id the least text is learned from;
 texts are matched whole; repeated rows score alike; other columns are ignored; an empty table gives an empty result.
 """
 
@@ -103,11 +104,14 @@ class Lexicon:
         return 1 / (1 + math.exp(-max(-500.0, self.offset + self.slope * math.log1p(density)))) if self.weights else 0.0
 
 
-def learn(toxic: list[str], clean: list[str], least_chars: int = 4, most_chars: int = 12, least_rows: int = 8, least_weight: float = 2.5, entries: int = 5000, phrases: int = 5000) -> Lexicon:
-    """Texts of both kinds -> a lexicon of at most `entries` entries and `phrases` exception phrases."""
-    toxic, clean = [fold(x).split() for x in toxic], [fold(x).split() for x in clean]
+def learn(toxic: list[str], clean: list[str], least_chars: int = 4, most_chars: int = 12, least_share: float = 0.005, least_rows: int = 3, least_weight: float = 2.5, entries: int = 5000, phrases: int = 5000) -> Lexicon:
+    """Texts of both kinds -> a lexicon of at most `entries` entries and `phrases` exception phrases, those of most weight
+    and most rows; both bounds, like that on the labelled rows, are far above what such a number of rows can show."""
+    known: dict[str, str] = {}  # each word is held once, however often it comes
+    toxic, clean = ([[known.setdefault(w, w) for w in fold(x).split()] for x in texts] for texts in (toxic, clean))
     if not toxic or not clean:
         return Lexicon()
+    least_rows = max(least_rows, math.ceil(least_share * len(toxic)))
     begins_of = lambda w: (w[:n] for n in range(least_chars, min(len(w), most_chars) + 1))
     shown = Counter(p for words in toxic for p in {p for w in set(words) for p in begins_of(w)})
     wanted = {p for p, n in shown.items() if n >= least_rows}
