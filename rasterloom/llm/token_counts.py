@@ -21,7 +21,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import saved, shared_dir
 
 CACHE = "version string, digest binary, n_tokens long"
 
@@ -86,6 +86,7 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str | None = None, limi
     # copies go before the shuffle (partial aggregation), so a text of which there are many is no hot key
     misses = keyed.groupBy("digest").agg(F.first("text").alias("text")).join(known.select("digest"), "digest", "left_anti")
     misses.withColumn("version", F.lit(tag)).mapInPandas(_counts(tokenizer), CACHE).write.mode("append").parquet(cache)
-    counts = read_cache(spark, cache).where(F.col("version") == tag).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    # written down, so that the join below is of two shuffles alone and Spark can split a digest that many rows share
+    counts = saved(read_cache(spark, cache).where(F.col("version") == tag).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "token-counts")
     rows = keyed.select("_id", "digest", F.octet_length("text").cast("long").alias("n_bytes"))
     return rows.join(counts, "digest").select(F.col("_id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
