@@ -153,8 +153,9 @@ def _classes(each: DataFrame, distance: int) -> DataFrame:
 def simhash(docs: DataFrame, distance: int = 3, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: id_col, fingerprint (16 hex digits), component_id (least id of its class)."""
     each = _each(docs, F.col(id_col), F.col(text_col), shingle)
-    labels = _classes(each, distance)
-    return each.join(labels.drop("least"), "fp").select(F.col("doc_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    # written down, so that the join is of two shuffles alone and Spark can split a fingerprint that many rows share
+    labels = saved(_classes(each, distance).drop("least"), "simhash-labels")
+    return each.join(labels, "fp").select(F.col("doc_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame, distance: int = 3, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
