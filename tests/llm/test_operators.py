@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from rasterloom.llm import chat, components, decontamination, katz, knn, licenses, lines, mixing, near_copies, queries, simhash, token_counts, toxicity
 
@@ -118,6 +119,27 @@ def test_decontamination(spark):
     assert decontamination.contaminated(docs_of(spark, rows), bench.limit(0)).count() == 0
 
 
+def test_decontamination_regions(spark):
+    """As many regions as copies were put in, where they were put; ids of items may be texts."""
+    rng = random.Random(8)
+    item = words(rng, 14, 3000)
+    rows, want = [], {}
+    for n in range(1, 6):
+        for between in ("", " ", " x ", f" {words(rng, 30, 3000)} "):
+            text, at = "", []
+            for _ in range(n):
+                text += between if text else "start "
+                at.append(len(text))
+                text += item
+            rows.append((len(rows), text + " end"))
+            want[len(rows) - 1] = ("i-1", 0, n, at[0], at[0] + len(item))
+    cut = item[:30] + item[33:]
+    rows.append((len(rows), f"before {cut} after"))
+    want[len(rows) - 1] = ("i-1", 3, 1, 7, 7 + len(cut))
+    got = decontamination.contaminated(docs_of(spark, rows), spark.createDataFrame([("i-1", item)], "item_id string, text string")).collect()
+    assert {r["doc_id"]: tuple(r)[1:] for r in got} == want
+
+
 # --- 2 ----------------------------------------------------------------------------------------------------------
 
 
@@ -181,8 +203,8 @@ def lines_without(rows, limit, min_chars=20):
     return {(d, t): "\n".join(x for n, x in enumerate(t.split("\n")) if (d, t, n) not in gone) for d, t in docs}
 
 
-@pytest.mark.parametrize(("limit", "hot"), [(1, 256), (1, 2), (2, 256)])
-def test_line_dedup(spark, limit, hot, monkeypatch):
+@pytest.mark.parametrize(("limit", "few"), [(1, 4), (1, 0), (1, 1), (2, 4), (2, 1)])
+def test_line_dedup(spark, limit, few):
     rng = random.Random(limit)
     base = [words(rng, rng.randrange(1, 12), 5000) for _ in range(40)]
     near = []
@@ -194,14 +216,13 @@ def test_line_dedup(spark, limit, hot, monkeypatch):
         near.append("".join(x))
     page = "this line is about page number 000 of many others"
     near += [page.replace("000", f"{n:03d}") for n in range(30)]
+    near += [page.replace("000", f"{n}") for n in range(9)] + ["aaaaaaaaaaaaaaaaaaaaaaa", "aaaaaaaaaaaaaaaaaaaaaaaa", "aaaaaaaaaabaaaaaaaaaaaaa"]
     rows = []
     for d in range(40):
         rows.append((d, "\n".join(rng.choice([*base, *near, "", "  ", " " + base[0] + "\t"]) for _ in range(rng.randrange(1, 9)))))
     rows += [(40, None), (41, ""), (42, "\n\n"), (43, base[0] * 300), rows[7], (None, base[1])]
-    keep = lines.line_links
-    monkeypatch.setattr(lines, "line_links", lambda a, b, k: keep(a, b, k, hot=hot))
     df = docs_of(spark, rows).withColumnsRenamed({"lang": "th", "source": "line"})
-    out = lines.dedup_lines(df, limit=limit)
+    out = lines.dedup_lines(df, limit=limit, few=few)
     assert out.columns == [*df.columns, "_lines", "_removed"]
     want = lines_without(rows, limit)
     got = out.collect()
@@ -213,17 +234,47 @@ def test_line_dedup(spark, limit, hot, monkeypatch):
     assert lines.dedup_lines(docs_of(spark, [])).count() == 0
 
 
-def test_line_dedup_border(spark, monkeypatch):
-    """A line of just long_chars and one of a character more, which share hot keys only."""
+@pytest.mark.parametrize("limit", [1, 2])
+def test_line_links_in_a_hot_group(spark, limit):
+    """All pairs of lines that share nearly everything, at lengths around each halving, against brute force."""
+    rng = random.Random(limit)
+    every = set()
+    for n in (20, 21, 22, 23, 24, 31, 32, 33, 40):
+        base = "".join(rng.choice("abcd") for _ in range(n))
+        every.add(base)
+        for _ in range(25):
+            x = list(base)
+            for _ in range(rng.randrange(1, limit + 2)):
+                k = rng.randrange(len(x) + 1)
+                x[k : k + rng.randrange(2)] = rng.choice(["", "a", "b", "zz"])
+            every.add("".join(x))
+    texts = sorted(x for x in every if len(x) >= 20)
+    df = spark.createDataFrame([(i, 0, x) for i, x in enumerate(texts)], "a long, b long, line string")
+    want = [(i, j) for i, x in enumerate(texts) for j in range(i) if abs(len(x) - len(texts[j])) <= limit and distance(x, texts[j]) <= limit]
+    for few in (0, 2):
+        got = [(r["u"]["a"], r["v"]["a"]) for r in lines.line_links(df, limit, few).collect()]
+        assert {(max(p), min(p)) for p in got} <= set(want)
+        assert classes_of(range(len(texts)), got) == classes_of(range(len(texts)), want)
+
+
+def test_line_pairs_stay_in_proportion(spark):
+    """Lines that share a half, and lines that share all but one word: no pairs of all with all."""
+    rng = random.Random(3)
+    texts = [f"{'the same beginning of a common line ' * 2}{rng.getrandbits(120):030x}" for _ in range(600)]
+    texts += [f"one of many near copies says w{rng.getrandbits(28):07x} in the middle of its only line" for _ in range(600)]
+    df = spark.createDataFrame([(i, 0, x) for i, x in enumerate(texts)], "a long, b long, line string")
+    assert lines.candidates(df, 1, 4).count() < 6 * len(texts)
+
+
+def test_long_lines(spark):
+    """Lines of 300,000 characters, alone and with many that share their halves."""
     rng = random.Random(4)
-    head, tail = ("".join(rng.choice("abcdefgh") for _ in range(30)) for _ in range(2))
-    near = [head + tail, head[:9] + "z" + head[9:] + tail]
-    rows = list(enumerate([*near, *("".join(rng.choice("ijklmnop") for _ in range(30)) + tail for _ in range(4))]))
-    keep = lines.line_links
-    monkeypatch.setattr(lines, "line_links", lambda a, b, k: keep(a, b, k, hot=2, long_chars=60))
-    got = {r["doc_id"]: r["text"] for r in lines.dedup_lines(docs_of(spark, rows)).collect()}
-    assert got == {d: text for (d, _), text in lines_without(rows, 1).items()}
-    assert got[1] == ""
+    long = "".join(rng.choice("abcdefgh ") for _ in range(300_000)).strip()
+    near = [long, "x" + long[1:], long[:150_000] + long[150_001:], long[:-1], long[:262_144] + "q" + long[262_144:], long[:77] + "xy" + long[79:]]
+    rows = list(enumerate(near))
+    for few in (4, 1):
+        got = {r["doc_id"]: r["text"] for r in lines.dedup_lines(docs_of(spark, rows), few=few).collect()}
+        assert got == {0: long, 1: "", 2: "", 3: "", 4: "", 5: near[5]}
 
 
 @pytest.mark.parametrize("limit", [1, 2, 3])
@@ -290,8 +341,8 @@ def test_close_links(spark, group):
     assert classes_of(signed, links) == want
 
 
-@pytest.mark.parametrize("group", [64, 3])
-def test_near_copies(spark, group):
+@pytest.mark.parametrize(("group", "sample", "hot"), [(8, 8, 4096), (64, 1, 4096), (3, 1, 4096), (3, 1, 20)])
+def test_near_copies(spark, group, sample, hot):
     """The pipeline's stage against all pairs; many of these copies differ in more bits than op4 links."""
     import corpus_pipeline
 
@@ -314,12 +365,39 @@ def test_near_copies(spark, group):
     n = range(len(texts))
     root = classes_of(n, [(a, b) for a in n for b in n if a < b and alike(grams[a], grams[b])])
     df = docs_of(spark, list(enumerate(texts)))
-    got = near_copies.one_of_each(df, group=group)
+    got = near_copies.one_of_each(df, group=group, sample=sample, hot=hot)
     assert got.columns == df.columns
     assert sorted(r["doc_id"] for r in got.collect()) == sorted(set(root.values()))
-    if group == 64:
+    if group == 8:
         assert sorted(r["doc_id"] for r in corpus_pipeline.dedup_documents(spark, df, "").collect()) == sorted(set(root.values()))
     assert near_copies.one_of_each(docs_of(spark, [])).count() == 0
+    again = docs_of(spark, [(1, "a b c"), (1, "a b c"), (None, "a b c"), (None, None), (None, ""), (2, "x"), (2, "x")])
+    assert sorted(str(r["doc_id"]) for r in near_copies.one_of_each(again).collect()) == ["1", "2", "None"]
+
+
+def test_shared_shingles_in_parts():
+    """A shingle that goes on over many batches, and is sent on before its end."""
+    import pyarrow as pa
+
+    rng = random.Random(2)
+    rows = sorted((rng.choice([1, 2, 3, 3, 3, 3, rng.randrange(100)]), rng.randrange(400), 9, 5) for _ in range(3000))
+    batches = [pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows[at : at + 70]], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["gram", "node", "n", "at"]) for at in range(0, 3000, 70)]
+    of = Counter(r[0] for r in set(rows))
+    want = sorted((*r, of[r[0]] > 8) for r in set(rows) if of[r[0]] > 1)
+    for at_once in (10, 200, 1 << 16):
+        got = [tuple(r.values()) for b in near_copies._shared(8, at_once)(iter(batches)) for r in b.to_pylist()]
+        assert sorted((*r[:4], r[4] > 8) for r in got) == want
+
+
+def test_sketches():
+    """Sketches of any two sizes never differ by more than the sets, and seldom by much less."""
+    rng = np.random.default_rng(2)
+    for n, m in ((0, 3), (5, 5), (100, 130), (700, 560), (4000, 4100), (9000, 7300)):
+        pool = rng.integers(-(1 << 63), 1 << 63, 2 * max(n, m), dtype=np.int64)
+        a, b = np.unique(pool[:n]), np.unique(pool[n // 4 : n // 4 + m])
+        d = len(np.setxor1d(a, b))
+        got = near_copies.apart(near_copies._sketch(a), near_copies._sketch(b))
+        assert d * 0.5 <= got <= d
 
 
 def test_fingerprint_chunks():
@@ -401,6 +479,33 @@ def test_knn(spark, block, wave):
     assert knn.top_k(df.limit(0), df["vec_id"] % 100 == 0).count() == 0
 
 
+def test_knn_of_large_components(spark):
+    """Scores past 2^53 are whole, and what can't fit into a long is refused."""
+    rng = random.Random(4)
+    v = {i: [float(rng.randrange(-(1 << 18), 1 << 18)) for _ in range(64)] for i in range(60)}
+    df = spark.createDataFrame(list(v.items()), "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in knn.top_k(df, df["vec_id"] % 10 == 0, n_pivots=5).collect()]
+    want = []
+    for q in range(0, 60, 10):
+        best = sorted((-sum(int(1024 * a) * int(1024 * b) for a, b in zip(v[q], v[i], strict=True)), i) for i in v if i != q)[:10]
+        want += [(q, r, i, -s) for r, (s, i) in enumerate(best, 1)]
+    assert sorted(got) == sorted(want) and max(abs(s) for *_, s in want) > 1 << 53
+    with pytest.raises(ValueError, match="too large"):
+        knn.top_k(spark.createDataFrame([(0, [3e6])], "vec_id long, embedding array<double>"), F.lit(True))
+
+
+def test_knn_sends_little_of_clusters(spark):
+    """Of 12 tight clusters a group gets little more than its own."""
+    rng = np.random.default_rng(1)
+    centers = rng.normal(size=(12, 16))
+    centers /= np.sqrt((centers**2).sum(1))[:, None]
+    v = [(i, [float(x) for x in centers[i % 12] + rng.normal(size=16) * 0.01]) for i in range(3000)]
+    df = spark.createDataFrame(v, "vec_id long, embedding array<double>")
+    p = knn.plan(df, df["vec_id"] % 7 == 0, 10, "vec_id", "embedding", 1024, 64, 64, 20_000)
+    numbers = [r["group"] for r in p.groups.select("group").collect()]
+    assert len(numbers) > 5 and p.sent(numbers).count() < 0.25 * len(numbers) * len(v)
+
+
 # --- 7 ----------------------------------------------------------------------------------------------------------
 
 
@@ -494,6 +599,35 @@ def test_fold():
     assert toxicity.fold("") == "  "
 
 
+def naive_density(lexicon, text):
+    words_, total = toxicity.fold(text).split(), 0.0
+    for k, w in enumerate(words_):
+        found = [weight for entry, weight in lexicon.weights.items() if w.startswith(entry)]
+        near = {f"{words_[k - 1] if k else ''} {w}", f"{w} {words_[k + 1] if k + 1 < len(words_) else ''}"}
+        if found and not near & lexicon.exceptions:
+            total += max(found)
+    return 100 * total / max(10, len(words_))
+
+
+def test_density():
+    """The automaton against the naive matcher, with entries that begin each other and phrases that excuse a word."""
+    rng = random.Random(5)
+    vocabulary = ["grub", "grubber", "grubbing", "shrew", "vile", "vilefoe", "n1ce", "the", "gr\u0443b", "VILE!", "a"]
+    lexicon = toxicity.Lexicon({"grub": 2.0, "grubber": 3.5, "vile": 1.0, "vilef": 4.0}, frozenset({"grubber shrew", "the vile", "grub grub"}), 2.0, -3.0)
+    automaton = lexicon.automaton()
+    for n in range(300):
+        text = " ".join(rng.choice(vocabulary) for _ in range(rng.randrange(0, 25)))
+        assert lexicon.density(toxicity.fold(text), automaton) == pytest.approx(naive_density(lexicon, text)), text
+
+
+def test_small_lexicon():
+    """Few labelled rows still give a lexicon."""
+    rng = random.Random(1)
+    toxic = [f"{words(rng, 12)} vilefoe {words(rng, 5)}" for _ in range(8)]
+    lexicon = toxicity.learn(toxic, [words(rng, 17) for _ in range(40)])
+    assert any("vilefoe".startswith(e) for e in lexicon.weights)
+
+
 def test_toxicity(spark):
     rng = random.Random(6)
     bad = ["vilefoe", "grubber", "nastling"]
@@ -523,6 +657,11 @@ def test_toxicity(spark):
     kept = toxicity.reject(docs_of(spark, rows), lab)
     assert kept.columns == docs_of(spark, []).columns and kept.count() == sum(1 - r["predicted"] for r in got)
     assert {r["score"] for r in toxicity.score_all(docs_of(spark, rows[:3]), lab.limit(0)).collect()} == {0.0}
+    # the score against a matcher that tries every entry on every word
+    lexicon = toxicity.fit(docs_of(spark, rows), lab.where(~toxicity.held_out(lab["doc_id"])))
+    assert lexicon.weights
+    for r, (_, text) in zip(sorted(got, key=lambda r: str(r["doc_id"])), sorted(rows, key=lambda r: str(r[0])), strict=True):
+        assert r["score"] == pytest.approx(lexicon.score(naive_density(lexicon, text or "")), abs=1e-12)
     assert toxicity.score_all(docs_of(spark, []), lab).count() == 0
 
 
@@ -559,3 +698,26 @@ def test_licenses(spark):
 def test_registered():
     assert sorted(int(re.match(r"op(\d+)_", k)[1]) for k in queries.QUERIES) == list(range(1, 11))
     assert set(queries.ORACLE) <= set(queries.QUERIES)
+
+
+def test_near_copies_of_a_changed_base(spark):
+    """Many changed copies of one text, few of them alike, against all pairs; the candidates stay well below all pairs."""
+    rng = random.Random(12)
+    base = words(rng, 150, 5000).split()
+    texts = []
+    for k in range(300):
+        x = list(base)
+        for _ in range(rng.randrange(1, 9)):
+            x[rng.randrange(len(x))] = f"y{rng.randrange(10**6)}"
+        if k % 10 == 0 and k:
+            x = texts[rng.randrange(k)].split()
+            x[rng.randrange(len(x))] = "once"
+        texts.append(" ".join(x))
+    grams = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    n = range(len(texts))
+    links = [(a, b) for a in n for b in n if a < b and 10 * len(grams[a] & grams[b]) >= 8 * len(grams[a] | grams[b])]
+    root = classes_of(n, links)
+    assert 20 < len(set(root.values())) < 290
+    for sample in (1, 8):
+        got = near_copies.one_of_each(docs_of(spark, list(enumerate(texts))), group=3, sample=sample)
+        assert sorted(r["doc_id"] for r in got.collect()) == sorted(set(root.values()))
