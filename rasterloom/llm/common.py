@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -55,6 +56,13 @@ def release(spark: SparkSession, since: int) -> None:
     del _saved[since:-1]
 
 
+def sweep(spark: SparkSession) -> None:
+    """Collects the driver's garbage. Spark deletes a shuffle's files once nothing in the driver refers to it, which it
+    notices then only; a stage of many tables otherwise keeps the files of all its shuffles."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def few_rows(df: DataFrame, rows: int | None = None) -> DataFrame:
     """df, marked for a broadcast if it has at most BROADCAST_ROWS rows, which are known of a saved table, or told, or
     counted here."""

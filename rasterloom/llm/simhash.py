@@ -32,6 +32,17 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def _ones(h: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit."""
+    return np.unpackbits(h.astype("<u8", copy=False).view(np.uint8), bitorder="little").reshape(-1, 64).sum(axis=0, dtype=np.int64)
+
+
+def majority(h: np.ndarray, chunk: int = 1 << 16) -> int:
+    """The unsigned fingerprint of shingles of these unsigned hashes."""
+    ones = sum((_ones(h[at : at + chunk]) for at in range(0, len(h), chunk)), np.zeros(64, np.int64))
+    return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
+
+
 def fingerprint(text: str | None, shingle: int = 3, chunk: int = 1 << 16) -> int:
     """The unsigned fingerprint of a text; chunk bounds the memory that a long text takes."""
     from xxhash import xxh64_intdigest
@@ -43,8 +54,7 @@ def fingerprint(text: str | None, shingle: int = 3, chunk: int = 1 << 16) -> int
     ones = np.zeros(64, dtype=np.int64)
     join = b" ".join
     for at in range(0, n, chunk):
-        h = np.array([xxh64_intdigest(join(words[i : i + shingle]), SEED) for i in range(at, min(n, at + chunk))], dtype="<u8")
-        ones += np.unpackbits(h.view(np.uint8), bitorder="little").reshape(-1, 64).sum(axis=0, dtype=np.int32)
+        ones += _ones(np.array([xxh64_intdigest(join(words[i : i + shingle]), SEED) for i in range(at, min(n, at + chunk))], dtype="<u8"))
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 

@@ -721,3 +721,36 @@ def test_near_copies_of_a_changed_base(spark):
     for sample in (1, 8):
         got = near_copies.one_of_each(docs_of(spark, list(enumerate(texts))), group=3, sample=sample)
         assert sorted(r["doc_id"] for r in got.collect()) == sorted(set(root.values()))
+
+
+def test_near_copies_by_fingerprints(spark, monkeypatch):
+    """The stage's first classes: fingerprints of the sets that meet in simhash's blocks, checked exactly. What they leave
+    is found by the join alone."""
+    import corpus_pipeline
+
+    rng = random.Random(21)
+    texts = []
+    for _ in range(15):
+        base = words(rng, 400, 5000).split()
+        for changes in (0, 1, 1, 6, 7, 30):
+            x = list(base)
+            for _ in range(changes):
+                x[rng.randrange(len(x))] = f"y{rng.randrange(9999)}"
+            texts.append(" ".join(x))
+    texts += [texts[0], "", None]
+    sets = [near_copies.shingles(t) for t in texts]
+    pairs = [near_copies.shingles(t, 2) for t in texts]
+    bits = [simhash.majority(s.view(np.uint64)) for s in pairs]
+    for s, b in zip(pairs[:3], bits[:3], strict=True):
+        assert b == sum(1 << k for k in range(64) if 2 * sum(int(h) >> k & 1 for h in s.view(np.uint64)) > len(s))
+    alike = lambda a, b: 10 * len(np.intersect1d(a, b)) >= 8 * len(np.union1d(a, b))
+    n = range(len(texts))
+    links = [(a, b) for a in n for b in n if a < b and alike(sets[a], sets[b])]
+    first = classes_of(n, [(a, b) for a, b in links if (bits[a] ^ bits[b]).bit_count() <= 5])
+    whole = classes_of(n, links)
+    assert len(set(whole.values())) < len(set(first.values())) < len(texts) - 3
+    df = docs_of(spark, list(enumerate(texts)))
+    ids = lambda: sorted(r["doc_id"] for r in corpus_pipeline.dedup_documents(spark, df, "").collect())
+    assert ids() == sorted(set(whole.values()))
+    monkeypatch.setattr(near_copies, "set_links", lambda *a, known, **b: known)
+    assert ids() == sorted(set(first.values()))
