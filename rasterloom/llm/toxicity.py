@@ -19,6 +19,7 @@ texts are matched whole; repeated rows score alike; other columns are ignored; a
 from __future__ import annotations
 
 import math
+import pickle
 import re
 import unicodedata
 from collections import Counter, defaultdict
@@ -182,8 +183,19 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     ids = [known.where(F.col("_y") == kind).orderBy("_h", "_id").limit(most) for kind, most in ((1, fit_toxic), (0, fit_clean))]
     got = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).where(F.length("_t") > 0)
     got = got.join(F.broadcast(ids[0].union(ids[1])), "_id").groupBy("_y", "_h", "_id").agg(F.min("_t").alias("_t"))
-    rows = sorted(got.collect(), key=lambda r: (r["_h"], r["_id"]))
-    return learn([r["_t"] for r in rows if r["_y"] == 1], [r["_t"] for r in rows if r["_y"] == 0])
+    # one task learns, so the driver holds the lexicon and never the texts
+    rows = got.coalesce(1).sortWithinPartitions("_h", "_id").select("_y", "_t")
+    made = rows.mapInPandas(_learned, "lexicon binary").collect()
+    return pickle.loads(made[0]["lexicon"]) if made else Lexicon()
+
+
+def _learned(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    texts: tuple[list[str], list[str]] = [], []
+    for rows in parts:
+        for kind, text in zip(rows["_y"], rows["_t"], strict=True):
+            if kind in (0, 1):
+                texts[kind].append(text)
+    yield pd.DataFrame({"lexicon": [pickle.dumps(learn(texts[1], texts[0]))]})
 
 
 def toxicity(lexicon: Lexicon, text: Column) -> Column:

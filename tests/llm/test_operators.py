@@ -628,6 +628,20 @@ def test_small_lexicon():
     assert any("vilefoe".startswith(e) for e in lexicon.weights)
 
 
+def test_lexicon_is_learned_in_a_task(spark, monkeypatch):
+    """The driver gets the lexicon, not the texts; it is the one that all rows in the order of their hashes give."""
+    rng = random.Random(5)
+    rows = [(i, f"{words(rng, 12)} {'vilefoe' if i % 3 == 0 else 'kind'} {words(rng, 9)}", "a") for i in range(60)]
+    docs, labels = docs_of(spark, rows), spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(60)], "doc_id long, quality int, toxic int")
+    order = [r["doc_id"] for r in docs.orderBy(F.xxhash64("doc_id")).select("doc_id").collect()]
+    of = {i: t for i, t, _ in rows}
+    want = toxicity.learn([of[i] for i in order if i % 3 == 0], [of[i] for i in order if i % 3])
+    assert want.weights
+    monkeypatch.setattr(toxicity, "learn", None)  # the driver's own; a task imports the module's
+    assert toxicity.fit(docs, labels) == want
+    assert toxicity.fit(docs, labels.limit(0)) == toxicity.Lexicon()
+
+
 def test_toxicity(spark):
     rng = random.Random(6)
     bad = ["vilefoe", "grubber", "nastling"]
