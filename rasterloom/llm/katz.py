@@ -182,15 +182,27 @@ class Bigrams:
         self.number = np.concatenate([unpack(x) for x in answers["numbers"]]).astype(np.int64)
         self.count = np.concatenate([unpack(x) for x in answers["counts"]]).astype(np.int64)
         self.lengths, self.train = unpack(row["lengths"]).astype(np.int64), unpack(row["train"]).astype(bool)
-        self.tokens = unpack(row["tokens"]).astype(np.int64)
+        self.tokens = unpack(row["tokens"]).astype(np.int32)
         n = len(self.number)
-        before = np.concatenate([[n], self.tokens[:-1]])
-        before[np.cumsum(self.lengths)[:-1]] = n
-        key, self.at = np.unique(before * (n + 1) + self.tokens, return_inverse=True)
-        context, self.word = np.divmod(key, n + 1)
-        self.contexts, starts, self.of = np.unique(context, return_index=True, return_inverse=True)
-        self.runs = np.diff([*starts, len(key)])
-        self.starts = starts
+        key = np.empty(len(self.tokens), np.int64)
+        key[0], key[1:] = n, self.tokens[:-1]
+        key[np.cumsum(self.lengths)[:-1]] = n
+        key *= n + 1
+        key += self.tokens
+        # as np.unique, which holds twice as much; a chunk's arrays are most of what a task takes
+        order = np.argsort(key)
+        key = key[order]
+        new = np.concatenate([[True], key[1:] != key[:-1]])
+        self.at = np.empty(len(key), np.int32)
+        self.at[order] = np.cumsum(new, dtype=np.int32) - 1
+        del order
+        key = key[new]
+        self.word = (key % (n + 1)).astype(np.int32)
+        key //= n + 1
+        first = np.concatenate([[True], key[1:] != key[:-1]])
+        self.starts, self.of = np.flatnonzero(first), np.cumsum(first, dtype=np.int32) - 1
+        self.contexts = key[self.starts]
+        self.runs = np.diff([*self.starts, len(key)])
         self.context_number = np.where(self.contexts == n, BEGIN, self.number[np.minimum(self.contexts, n - 1)])
 
     def buckets(self, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -273,14 +285,22 @@ def _scores(n: int, unigrams: Unigrams, d: np.ndarray, total: int, types: int):
             seen = np.frombuffer(a["seen"], dtype="<f8")
             of[mine] = np.where(sums > 0, by, 1.0)
             backoff[mine] = np.where(sums > 0, left / np.maximum(1 - seen, 1e-15), 1.0)
-        p = np.where(count > 0, d[np.where(count <= TOP, count, 0)] * count / of[g.of], backoff[g.of] * single)
-        doc = np.repeat(np.arange(len(g.lengths)), g.lengths)
-        add = lambda x: np.bincount(doc, weights=x, minlength=len(g.lengths))
-        c = g.count[g.tokens]
-        base = np.log10((c + 0.5) / (total + 0.5 * (types + 1)))
+        p = np.log10(np.where(count > 0, d[np.where(count <= TOP, count, 0)] * count / of[g.of], backoff[g.of] * single))
+        del single, count
+        doc = np.repeat(np.arange(len(g.lengths), dtype=np.int32), g.lengths)
+        base = np.log10((g.count + 0.5) / (total + 0.5 * (types + 1)))
+
+        def add(x: np.ndarray, at: np.ndarray, step: int = 1 << 18) -> np.ndarray:
+            """Sums of x[at] by document."""
+            out = np.zeros(len(g.lengths))
+            for k in range(0, len(at), step):
+                part = doc[k : k + step]
+                out[part[0] : part[-1] + 1] += np.bincount(part - part[0], weights=x[at[k : k + step]])
+            return out
+
         return pd.DataFrame({
-            "doc_id": pd.Series(list(chunk.iloc[0]["ids"]), dtype=object), "held_out": ~g.train, "n_tokens": g.lengths, "n_known": add(c > 0).astype(np.int64),
-            "train_tokens": total, "base_score": add(base), "score": add(np.log10(p)[g.at]),
+            "doc_id": pd.Series(list(chunk.iloc[0]["ids"]), dtype=object), "held_out": ~g.train, "n_tokens": g.lengths, "n_known": add(g.count > 0, g.tokens).astype(np.int64),
+            "train_tokens": total, "base_score": add(base, g.tokens), "score": add(p, g.at),
         })
 
     return run

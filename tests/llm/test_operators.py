@@ -768,3 +768,28 @@ def test_near_copies_by_fingerprints(spark, monkeypatch):
     assert ids() == sorted(set(whole.values()))
     monkeypatch.setattr(near_copies, "set_links", lambda *a, known, **b: known)
     assert ids() == sorted(set(first.values()))
+
+
+def test_katz_memory_of_a_chunk():
+    """What a task holds at once for the bigrams of a chunk, in bytes for each token."""
+    import tracemalloc
+
+    import pandas as pd
+
+    rng = np.random.default_rng(3)
+    n, size = 20_000, 300_000
+    tokens = np.concatenate([np.arange(n), (n * rng.random(size - n) ** 3).astype(np.int64)])
+    lengths = [size // 2, 1, size - size // 2 - 1]
+    packed = {"lengths": np.array(lengths), "train": np.array([True, True, False]), "tokens": tokens}
+    chunk = pd.DataFrame([{k: katz.pack(v) for k, v in packed.items()}])
+    answers = pd.DataFrame({"bucket": [0], "numbers": [katz.pack(np.arange(1, n + 1))], "counts": [katz.pack(np.bincount(tokens))]})
+    tracemalloc.start()
+    katz._bigram_requests(8)((0,), chunk, answers)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 60 * size
+    g = katz.Bigrams(chunk.iloc[0], answers)
+    before = np.concatenate([[n], tokens[:-1]])
+    before[[size // 2, size // 2 + 1]] = n
+    assert (g.contexts[g.of[g.at]] == before).all() and (g.word[g.at] == tokens).all()
+    assert len(g.word) == len(set(zip(before.tolist(), tokens.tolist(), strict=True))) == g.runs.sum()
