@@ -39,10 +39,16 @@ def saved(df: DataFrame, name: str, **more: Column) -> DataFrame:
     df.observe(seen, F.count(F.lit(1)).alias("rows"), *[c.alias(k) for k, c in more.items()]).write.parquet(path)
     _saved.append(path)
     out = spark.read.schema(df.schema).parquet(path)
-    out.observed = seen.get
+    out.observed, out.path = seen.get, path
     return out
 
 
+def together(tables: list[DataFrame]) -> DataFrame:
+    """The rows of saved tables of one schema, in a single scan. The driver holds some MB for each scan, stage and broadcast
+    of a plan, all at once, so a union of many plans costs it hundreds."""
+    return tables[0].sparkSession.read.schema(tables[0].schema).parquet(*[t.path for t in tables])
+
+
 def marked() -> int:
     """How many tables are saved by now, for release()."""
     return len(_saved)

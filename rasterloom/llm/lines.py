@@ -30,7 +30,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import few_rows, saved
+from .common import few_rows, saved, together
 from .components import components
 
 BLANK = " \t\r"
@@ -86,22 +86,24 @@ def candidates(texts: DataFrame, limit: int, few: int) -> DataFrame:
     n = F.length("line")
     state = texts.select(F.lit(0).cast("long").alias("g"), "a", "b", F.explode(F.sequence(F.lit(0), F.lit(limit))).alias("short"), "line")
     state = state.select("g", "a", "b", (n - F.col("short")).alias("l"), (F.col("short") == 0).alias("own"), F.col("line").alias("rest")).where(F.col("l") > limit)
-    name, found = F.struct("a", "b"), None
+    name, found = F.struct("a", "b"), []
+    few_indexed, more = F.col("indexed") <= few, F.col("l") > limit
     while True:
         rows = _cut(state, limit)
         sizes = rows.groupBy("g").agg(F.count("*").alias("n"), F.count_if("own").alias("indexed")).where("n > 1 AND indexed > 0")
-        more = F.count_if((F.col("indexed") > few) & (F.col("l") > limit))
-        met = saved(rows.join(sizes.select("g", "indexed"), "g"), "line-groups", more=more)
-        small = met.where(F.col("indexed") <= few)
+        seen = {"small": F.count_if(few_indexed), "end": F.count_if(~few_indexed & ~more), "more": F.count_if(~few_indexed & more)}
+        met = saved(rows.join(sizes.select("g", "indexed"), "g"), "line-groups", **seen)
+        small, large = met.where(few_indexed), met.where(~few_indexed)
         left = small.where("own").select("g", name.alias("u"))
         pairs = left.join(small.select("g", name.alias("v"), "own"), "g").where("u != v AND (NOT own OR u < v)").select("u", "v")
-        found = pairs if found is None else found.union(pairs)
-        large = met.where(F.col("indexed") > few)
-        end = large.where(F.col("l") <= limit)
-        found = found.union(_last(end, limit))
-        state = large.where(F.col("l") > limit).drop("indexed")
+        # a round's pairs are made before the next one, and only where there are any
+        if met.observed["small"]:
+            found.append(saved(pairs, "line-met"))
+        if met.observed["end"]:
+            found.append(saved(_last(large.where(~more), limit), "line-met"))
         if not met.observed["more"]:
-            return found
+            return together(found) if found else pairs.where(F.lit(False))
+        state = large.where(more).drop("indexed")
 
 
 def _last(rows: DataFrame, limit: int) -> DataFrame:

@@ -266,6 +266,17 @@ def test_line_pairs_stay_in_proportion(spark):
     assert lines.candidates(df, 1, 4).count() < 6 * len(texts)
 
 
+def test_line_pairs_are_made_round_by_round(spark):
+    """The driver holds some MB for each stage and scan of a plan: pairs of all rounds are read in one scan, not joined at once."""
+    page = "one of many near copies says w000000 in the middle of its only line"
+    df = spark.createDataFrame([(n, 0, page.replace("000000", f"{n:06d}")) for n in range(120)], "a long, b long, line string")
+    for few, some in ((4, df), (0, df), (4, df.where("a = 0")), (4, df.where("a < 0"))):
+        pairs = lines.candidates(some, 1, few)
+        plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan and "Union" not in plan
+        assert (pairs.count() > 0) == (some is df)
+
+
 def test_long_lines(spark):
     """Lines of 300,000 characters, alone and with many that share their halves."""
     rng = random.Random(4)
