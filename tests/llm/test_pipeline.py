@@ -86,3 +86,20 @@ def test_empty_chain(spark, tmp_path):
 
 def test_stages():
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "simhash_dedup", "decontamination", "mixing"]
+
+
+def test_line_stage_runs_small_plans(spark, monkeypatch):
+    """Near copies that meet in many rounds: no table of the stage is made by one plan of all rounds' joins."""
+    from rasterloom.llm import lines
+
+    joins, save = {}, lines.saved
+
+    def noted(df, name, **more):
+        joins[name] = max(joins.get(name, 0), df._jdf.queryExecution().optimizedPlan().toString().count("Join "))
+        return save(df, name, **more)
+
+    monkeypatch.setattr(lines, "saved", noted)
+    rows = [(n, f"one of many near copies says w{n:06d} in the middle of its only line", "en", "s", 1) for n in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert corpus_pipeline.dedup_lines(spark, docs, "").where("text != ''").count() == 1
+    assert max(joins.values()) <= 6, joins
