@@ -43,7 +43,7 @@ def _images(spark, d) -> DataFrame:
         a = C._array(pdf, False)
         return pd.DataFrame({"image_id": [str(key[0])], "width": [a.shape[1]], "height": [a.shape[0]], "has_alpha": [False], "pixels": [a.tobytes()]})
 
-    return pixels(spark, d).groupBy("image_id").applyInPandas(pack, "image_id string, width int, height int, has_alpha boolean, pixels binary")
+    return C.spread(pixels(spark, d), "image_id").groupBy("image_id").applyInPandas(pack, "image_id string, width int, height int, has_alpha boolean, pixels binary")
 
 
 def _folder(spark, name: str) -> str:

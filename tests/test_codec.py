@@ -203,3 +203,53 @@ def test_stream(spark, tmp_path):
     spark.createDataFrame([("a", 0, 0, 2), ("a", 1, 0, 2)], schema).coalesce(1).write.mode("append").parquet(str(folder))
     run()
     assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "done")).collect()} == {("b", 1, True), ("a", 2, True)}
+
+
+def test_small_planes_are_fast():
+    """Ranks of few values are held and sized by what occurs, not by the 2,049 symbols; this took twenty times as long."""
+    import time
+
+    from rasterloom.codec.lossy import _spans
+    from rasterloom.plans.codec import _coeffs
+
+    rng = np.random.default_rng(3)
+    groups = [rng.integers(0, 100, 64) for _ in range(20)]
+    began = time.process_time()
+    for v in groups:
+        planes = [_coeffs(v), -_coeffs(v[::-1])]
+        spans = _spans(planes)
+        for f in (0, 20):
+            syntax = streams.with_flags(f)
+            streams.write_planes(planes, spans, int(spans.max(initial=0)), syntax)
+    assert time.process_time() - began < 1.5
+
+
+def test_plans_know_their_size():
+    """Of the syntaxes that are tried only one is written, so what a plan says must be what it writes; and what it
+    remembers of one syntax must not change another."""
+    from rasterloom.codec.lossy import _spans
+
+    rng = np.random.default_rng(4)
+    for blocks, width in ((1, 1), (4, 3), (16, 40), (90, 900)):
+        planes = [np.round(rng.laplace(0, width, (blocks, 64)) * np.linspace(1, 0, 64)).astype(np.int64).clip(-1024, 1024) for _ in range(2)]
+        spans = _spans(planes)
+        extent, memo = int(spans.max(initial=0)), {}
+        for f in (0, 2, 4, 20, 22, 52, 64, 116, 246, 254):
+            s = streams.with_flags(f)
+            plan = streams.plan_planes(planes, spans, extent, s, memo)
+            data = plan.bytes(s)
+            assert len(data) == plan.size and data == streams.write_planes(planes, spans, extent, s)
+            assert all((a == b).all() for a, b in zip(streams.read_planes(Reader(data), 2, spans, extent, s), planes, strict=True))
+
+
+def test_codec_work_is_dealt_out(spark):
+    """Few bytes of pixels cost much, so their steps aren't joined into a few tasks, nor is a file made twice."""
+    import __spark_entry__ as entry
+    from rasterloom.operators import codec
+
+    px = spark.range(512).selectExpr("id div 256 AS image_id", "cast(id % 256 div 16 AS int) AS y", "cast(id % 16 AS int) AS x", "cast(id % 251 AS int) AS r", "cast(id % 13 AS int) AS g", "cast(id % 17 AS int) AS b")
+    for df in (codec.encode(px), codec.encode(px, image.Config(lossless=True)), codec.decode(codec.encode(px))):
+        assert df.rdd.getNumPartitions() >= 16
+    for name, most in (("blk11_lossy_encode", 0), ("blk12_lossy_decode", 2)):
+        plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("FlatMapGroupsInPandas") == most, name
