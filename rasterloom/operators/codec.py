@@ -16,18 +16,12 @@ from ..codec.container import TYPES, Header, Tile, read_chunks, write
 from ..codec.metablock import Entry, pack
 from ..functions.binary import le_bytes
 from ..schemas import FLAGS
+from .order import spread
 
 ROWS = 1 << 15  # of a batch of pixels
 PIXELS = "image_id bigint, y int, x int, r int, g int, b int, a int"
 
 
-def spread(df: DataFrame, *by: str) -> DataFrame:
-    """df dealt by those columns to many tasks, for steps that cost far more than their rows' bytes: by bytes alone Spark
-    would join what it shuffles for them into a few tasks, and leave most cores idle."""
-    spark = df.sparkSession
-    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism), *by)
-
-
 def _array(pdf: pd.DataFrame, alpha: bool) -> np.ndarray:
     names = ["r", "g", "b", "a"] if alpha else ["r", "g", "b"]
     out = np.zeros((int(pdf["y"].max()) + 1, int(pdf["x"].max()) + 1, len(names)), np.uint8)

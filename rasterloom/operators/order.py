@@ -1,4 +1,4 @@
-"""Global order without one task that holds all rows."""
+"""How rows are dealt: to many tasks, and in a global order without one task that holds all rows."""
 
 from __future__ import annotations
 
@@ -10,6 +10,13 @@ from pyspark.sql import functions as F
 from ..session import shared_folder
 
 
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """df dealt by those columns to many tasks, for steps that cost far more than their rows' bytes: by bytes alone Spark
+    would join what it shuffles for them into a few tasks, and leave most cores idle."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism), *by)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df, computed once and read back from the shared folder, for what is costly and asked for several times."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"

@@ -172,8 +172,12 @@ _WHOLE = f"""{PX}, pl AS (SELECT image_id, max(x) AS mx, max(y) AS my FROM px GR
 q AS (SELECT pl.image_id, CAST(yy AS INTEGER) AS y, CAST(xx AS INTEGER) AS x, coalesce(px.g, 0) AS v FROM pl CROSS JOIN range(0, 16) a(yy) CROSS JOIN range(0, 16) b(xx) LEFT JOIN px ON px.image_id = pl.image_id AND px.y = yy AND px.x = xx WHERE yy <= my AND xx <= mx)"""
 
 
+def _green(spark, d) -> DataFrame:
+    return pixels(spark, d).select("image_id", "y", "x", F.col("g").alias("v"))
+
+
 def _whole(spark, d) -> DataFrame:
-    return B.completed(pixels(spark, d).select("image_id", "y", "x", F.col("g").alias("v")))
+    return B.completed(_green(spark, d))
 
 
 @query("blk8_subsample", f"WITH {_WHOLE}, o AS (SELECT * FROM q UNION ALL SELECT -1 - image_id, y, x, v FROM q WHERE y < 15 AND x < 15), s AS (SELECT image_id, max(x) + 1 AS w, max(y) + 1 AS h FROM o GROUP BY 1), p AS (SELECT o.*, CASE WHEN x = w - 1 AND w % 2 = 1 THEN 2 ELSE 1 END * CASE WHEN y = h - 1 AND h % 2 = 1 THEN 2 ELSE 1 END AS n FROM o JOIN s USING (image_id)) SELECT image_id, y // 2 AS y, x // 2 AS x, CAST((sum(v * n) + 2) // 4 AS INTEGER) AS v FROM p GROUP BY ALL")
@@ -195,26 +199,19 @@ def _bilinear_sql(w2: str, h2: str) -> str:
 _HALF = f"{_WHOLE}, s AS (SELECT image_id, CAST(max(x) + 1 AS DOUBLE) AS w, CAST(max(y) + 1 AS DOUBLE) AS h FROM q GROUP BY 1)"
 
 
-def _sizes(px: DataFrame, w: int, h: int) -> DataFrame:
-    return px.select("image_id").distinct().select("image_id", F.lit(w).alias("w2"), F.lit(h).alias("h2"))
-
-
 @query("blk9_upsample", f"WITH {_HALF}, {_bilinear_sql('32', '32')}")
 def upsample(spark, d):
-    px = _whole(spark, d)
-    return B.double(px, _sizes(px, 32, 32))
+    return B.double(_green(spark, d), (32, 32))
 
 
 @query("blk10_resize_bilinear", f"WITH {_HALF}, {_bilinear_sql('11', '7')}")
 def resize_bilinear(spark, d):
-    px = _whole(spark, d)
-    return B.resample(px, _sizes(px, 11, 7), ["v"])
+    return B.resample(_green(spark, d), (11, 7), ["v"])
 
 
 @query("blk10_resize_nearest", f"WITH {_HALF}, t AS (SELECT image_id, CAST(yy AS INTEGER) AS y, CAST(xx AS INTEGER) AS x, CAST(round(least(greatest((xx + 0.5::DOUBLE) * w / 40 - 0.5::DOUBLE, 0), w - 1)) AS INTEGER) AS fx, CAST(round(least(greatest((yy + 0.5::DOUBLE) * h / 24 - 0.5::DOUBLE, 0), h - 1)) AS INTEGER) AS fy FROM s, range(0, 24) a(yy), range(0, 40) b(xx)) SELECT t.image_id, t.y, t.x, q.v FROM t JOIN q ON q.image_id = t.image_id AND q.y = fy AND q.x = fx")
 def resize_nearest(spark, d):
-    px = _whole(spark, d)
-    return B.resample(px, _sizes(px, 40, 24), ["v"], smooth=False)
+    return B.resample(_green(spark, d), (40, 24), ["v"], smooth=False)
 
 
 # --- lossless prediction ----------------------------------------------------------------------------------------------

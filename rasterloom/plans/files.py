@@ -21,6 +21,7 @@ from ..operators import codec as C
 from ..operators import metrics as M
 from ..operators import report as R
 from ..operators import statistics as S
+from ..operators.order import spread
 from ..session import shared_folder
 from ..sources import container as SC
 from ..sources import files as SF
@@ -43,7 +44,7 @@ def _images(spark, d) -> DataFrame:
         a = C._array(pdf, False)
         return pd.DataFrame({"image_id": [str(key[0])], "width": [a.shape[1]], "height": [a.shape[0]], "has_alpha": [False], "pixels": [a.tobytes()]})
 
-    return C.spread(pixels(spark, d), "image_id").groupBy("image_id").applyInPandas(pack, "image_id string, width int, height int, has_alpha boolean, pixels binary")
+    return spread(pixels(spark, d), "image_id").groupBy("image_id").applyInPandas(pack, "image_id string, width int, height int, has_alpha boolean, pixels binary")
 
 
 def _folder(spark, name: str) -> str:
@@ -130,9 +131,7 @@ def image_loader(spark, d):
 
 def B_full(spark, d) -> DataFrame:
     """The pixels of whole rectangles."""
-    px = pixels(spark, d)
-    r, g, b = (B.completed(px, c) for c in "rgb")
-    return r.join(g, ["image_id", "y", "x"]).join(b, ["image_id", "y", "x"])
+    return B.completed(pixels(spark, d), "r", "g", "b")
 
 
 _TILED = f"{PX}, tl AS (SELECT image_id, x // 8 AS tile_x, y // 8 AS tile_y, string_agg(printf('%02X', g), '' ORDER BY y, x) AS payload FROM px GROUP BY ALL)"

@@ -1,5 +1,7 @@
 """Metrics, rollups, transforms and metadata on analytic fixtures."""
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -133,3 +135,32 @@ def test_transfer(spark):
     df = spark.createDataFrame([(x / 20,) for x in range(21)], "v double")
     for there, back in ((colour.srgb_oetf, colour.srgb_eotf), (colour.bt709_oetf, colour.bt709_eotf), (colour.hlg_oetf, colour.hlg_inverse_oetf), (lambda v: colour.pq_oetf(v * 10000), lambda v: colour.pq_eotf(v) / 10000)):
         assert df.where(F.abs(back(there(F.col("v"))) - F.col("v")) > 1e-3).count() == 0
+
+
+def test_resample_sends_no_pixels_to_all_tasks(spark):
+    """Larger and smaller sizes than the image's, which lacks places and a whole row, against a loop; no join, whose side
+    Spark could collect in the driver."""
+    rng = np.random.default_rng(7)
+    full = {i: rng.integers(0, 256, (h, w)) for i, (h, w) in enumerate([(5, 7), (1, 1), (16, 3)])}
+    full[0][2], full[2][4, 1] = 0, 0
+    rows = [(i, y, x, int(a[y, x])) for i, a in full.items() for y in range(a.shape[0]) for x in range(a.shape[1]) if a[y, x] or (y, x) == (0, 0)]
+    rows += [(i, a.shape[0] - 1, a.shape[1] - 1, int(a[-1, -1])) for i, a in full.items() if not a[-1, -1]]
+    px = spark.createDataFrame(rows, "image_id long, y int, x int, v int")
+    place = lambda at, n, n2: min(max((at + 0.5) * n / n2 - 0.5, 0.0), n - 1.0)
+    half = lambda v: math.floor(v + 0.5)
+    for size in ((32, 32), (4, 2), (11, 7), (1, 1)):
+        for smooth in (True, False):
+            want = {}
+            for i, a in full.items():
+                h, w = a.shape
+                for y in range(size[1]):
+                    for x in range(size[0]):
+                        sx, sy = place(x, w, size[0]), place(y, h, size[1])
+                        x0, y0 = int(sx), int(sy)
+                        x1, y1, tx, ty = min(x0 + 1, w - 1), min(y0 + 1, h - 1), sx - x0, sy - y0
+                        mean = a[y0, x0] * (1 - tx) * (1 - ty) + a[y0, x1] * tx * (1 - ty) + a[y1, x0] * (1 - tx) * ty + a[y1, x1] * tx * ty
+                        want[i, y, x] = half(round(mean, 9)) if smooth else int(a[half(sy), half(sx)])
+            out = blocks.resample(px, size, ["v"], smooth)
+            assert {(r["image_id"], r["y"], r["x"]): r["v"] for r in out.collect()} == want, (size, smooth)
+            assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in blocks.completed(px)._jdf.queryExecution().optimizedPlan().toString()
