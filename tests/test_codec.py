@@ -253,3 +253,13 @@ def test_codec_work_is_dealt_out(spark):
     for name, most in (("blk11_lossy_encode", 0), ("blk12_lossy_decode", 2)):
         plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("FlatMapGroupsInPandas") == most, name
+
+
+def test_text_of_singles():
+    """A number keeps what tells it from others, also past six digits."""
+    text = lambda v: metablock.text_of(metablock.Entry(2, 3, 6, v))[0]
+    assert [text(float(np.float32(v))) for v in (0.5083, 12.5, 0, 1e6, 3.25e-7)] == ["0.5083", "12.5", "0", "1e+06", "3.25e-07"]
+    for i in (999_999, 1_000_001, 5_999_999, 16_777_217, 34_353_808, 35_999_999):
+        assert text(float(i)) == str(i)
+    assert text(float(np.float32(0.1234567))) == "0.1234567" and text(1e300) == "1e+300" and text(float("nan")) == "nan"
+    assert metablock.text_of(next(e for e in exif.entries(__import__("rasterloom.plans.codec", fromlist=["x"]).tiff(1_234_567)) if e.type_id == 6))[0] == "1234567"
