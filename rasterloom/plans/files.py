@@ -354,6 +354,8 @@ def sql_table_functions(spark, d):
     from ..codec.container import Header, Tile, write
 
     surface.register(spark)
-    files = _map(table(spark, d, "events").select("event_id"), lambda i: (i, write(Header(8, 8), [Tile(0, 0, 1, b"x")], b"abcd" + str(i).encode())), "event_id bigint, content binary")
-    files = files.unionByName(files.select((-1 - F.col("event_id")).alias("event_id"), F.lit(b"NO").alias("content")))
+    events = spread(table(spark, d, "events").select("event_id"), "event_id")
+    files = _map(events, lambda i: (i, write(Header(8, 8), [Tile(0, 0, 1, b"x")], b"abcd" + str(i).encode())), "event_id bigint, content binary")
+    none = events.select((-1 - F.col("event_id")).alias("event_id"), F.lit(b"NO").alias("content"))
+    files = files.unionByName(none)  # from the table, so that no file is made a second time for its id
     return spark.sql("SELECT f.event_id, c.type, c.size, c.error FROM {files} f, LATERAL parse_container(f.content) c", files=files)

@@ -187,3 +187,12 @@ def test_streams(spark, tmp_path):
     pairs = spark.readStream.schema("ts timestamp, a double, c double").json(f"{tmp_path}/pairs")
     out = all_of(streaming.windowed_errors(pairs), "complete")
     assert sorted((r["n"], r["mae"], r["mse"]) for r in out) == [(1, 0.0, 0.0), (2, 2.0, 5.0)]
+
+
+def test_table_function_makes_each_file_once(spark):
+    """On many tasks, and not again for the ids of what is no file."""
+    import __spark_entry__ as entry
+
+    df = entry.queries()["sql_table_functions"](spark, "/root/testdata/sf0.001")
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("MapInPandas") == 1
+    assert df.rdd.getNumPartitions() >= 32
