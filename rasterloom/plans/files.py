@@ -61,9 +61,9 @@ def _written(spark, d, ending: str = "ppm", in_folders: bool = False) -> str:
     name = F.concat(F.when(i % 2 == 0, "Img").otherwise("img"), "image_id")
     place = F.concat(F.lit("a"), (i % 3).cast("string"), F.lit("/"), name) if in_folders else name
     made = SF.write_ppm(_images(spark, d), png=ending.lower() == "png").select(F.concat(place, F.lit(f".{ending}")).alias("path"), "content")
-    other = made.select(F.regexp_replace("path", r"\.[^.]*$", ".txt").alias("path"), F.lit(b"no image").alias("content"))
+    other = F.struct(F.regexp_replace("path", r"\.[^.]*$", ".txt").alias("path"), F.lit(b"no image").alias("content"))
     to = _folder(spark, ending)
-    SF.write_files(made.union(other), to)
+    SF.write_files(made.select(F.inline(F.array(F.struct("path", "content"), other))), to)  # each image is made once
     return to
 
 

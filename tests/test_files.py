@@ -196,3 +196,13 @@ def test_table_function_makes_each_file_once(spark):
     df = entry.queries()["sql_table_functions"](spark, "/root/testdata/sf0.001")
     assert df._jdf.queryExecution().optimizedPlan().toString().count("MapInPandas") == 1
     assert df.rdd.getNumPartitions() >= 32
+
+
+def test_files_are_written_of_images_made_once(spark, monkeypatch):
+    """An image's file and the file beside it come of one row."""
+    from rasterloom.plans import files as plans_files
+
+    seen = []
+    monkeypatch.setattr(plans_files.SF, "write_files", lambda df, to: seen.append(df))
+    plans_files._written(spark, "/root/testdata/sf0.001")
+    assert seen[0]._jdf.queryExecution().optimizedPlan().toString().count("FlatMapGroupsInPandas") == 1
