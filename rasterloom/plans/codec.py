@@ -334,11 +334,11 @@ def _payload(name: str, planes: int, flags: list[int]) -> None:
         def one(s, v):
             ps = [_coeffs(v), -_coeffs(v[::-1])][:planes]
             spans = spans_of(ps)
-            same = True
+            same, memo = True, {}
             for f in flags:
                 syntax = ST.with_flags(f)
                 extent = int(spans.max(initial=0))
-                r = _reader(ST.write_planes(ps, spans, extent, syntax))
+                r = _reader(ST.plan_planes(ps, spans, extent, syntax, memo).bytes(syntax))
                 got = ST.read_planes(r, planes, spans, extent, syntax)
                 same &= all((a == b).all() for a, b in zip(got, ps, strict=True)) and not r.left
             return s, len(v), bool(same)
