@@ -804,3 +804,20 @@ def test_katz_memory_of_a_chunk():
     before[[size // 2, size // 2 + 1]] = n
     assert (g.contexts[g.of[g.at]] == before).all() and (g.word[g.at] == tokens).all()
     assert len(g.word) == len(set(zip(before.tolist(), tokens.tolist(), strict=True))) == g.runs.sum()
+
+
+def test_words_are_hashed_without_imports(monkeypatch):
+    """A new word costs its hash, not an import's look-up as well; and shingles come as np.unique would give them."""
+    import builtins
+
+    import numpy as np
+
+    from rasterloom.llm import near_copies
+
+    known, seen, real = near_copies.Words(), [], builtins.__import__
+    monkeypatch.setattr(builtins, "__import__", lambda name, *a, **k: (seen.append(name), real(name, *a, **k))[1])
+    got = near_copies.word_hashes(" ".join(f"w{i % 300}" for i in range(900)), known)
+    monkeypatch.undo()
+    assert "xxhash" not in seen and len(known) == 300
+    grams = near_copies.hashed(got, 5)
+    assert len(grams) == 300 and (np.unique(grams.view(np.uint64)).view(np.int64) == grams).all()
